@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verdatrace.llm.common import map_arrow, texts_of
+from verdatrace.llm.common import map_arrow, texts_of, with_fields
 
 #: Bytes up to which a leaf of the tree is merged directly.
 LEAF_BYTES = 16
@@ -171,7 +171,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         ids = [bpe.encode(x).tobytes() for x in texts_of(batch.column(place))]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, out])
 
-    return map_arrow(df, run, df.schema.add(out, "binary"))
+    return map_arrow(df, run, with_fields(df, f"{out} binary"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -183,22 +183,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         made = [bpe.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(place).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, out])
 
-    return map_arrow(df, run, df.schema.add(out, "binary"))
+    return map_arrow(df, run, with_fields(df, f"{out} binary"))
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: str | None = None) -> DataFrame:
     """Encode, decode and digest every text in one pass.
 
-    Columns: ``key``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and
-    ``lossless`` (whether the decoded bytes are those of the text).  One row a
-    row of ``df``, repeated and null keys included.
+    Columns: ``key``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``,
+    ``lossless`` (whether the decoded bytes are those of the text) and, if
+    ``ids`` names it, an array of the ids.  One row a row of ``df``, repeated
+    and null keys included.
     """
-    data = _vocabulary(df, path)
+    data, ids_name = _vocabulary(df, path), ids
     rows = df.select(key, text)
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, lossless boolean"
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, lossless boolean" + (f", {ids} array<int>" if ids else "")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bpe, n, first, second, same = _worker(data.value, pattern), [], [], [], []
+        bpe, n, first, second, same, kept = _worker(data.value, pattern), [], [], [], [], []
         for x in texts_of(batch.column(1)):
             ids = bpe.encode(x)
             back = bpe.decode(ids.tolist())
@@ -206,6 +207,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
             first.append(hashlib.sha256(ids).hexdigest())
             second.append(hashlib.sha256(back).hexdigest())
             same.append(back == x.encode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second), pa.array(same)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
+            if ids_name:
+                kept.append(ids)
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second), pa.array(same)]
+        if ids_name:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(kept).view(np.int32))))
+        yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "lossless", *([ids_name] if ids_name else [])])
 
     return map_arrow(rows, run, schema)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step looks at.
 CHUNK_BYTES = 2 << 20
@@ -57,7 +58,12 @@ def settle(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and the fields of ``ddl`` after it."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,3 +95,20 @@ def chunks(items: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         size += len(x)
     if start < len(items):
         yield start, len(items)
+
+
+#: Keys up to which a list of keys is broadcast; they are counted first.
+BROADCAST_KEYS = 500_000
+
+
+def without_keys(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose key is in the one column of ``dropped``; null keys stay.
+
+    A short list, by its count, is broadcast and the texts stay where they are;
+    a longer one is joined by a shuffle.
+    """
+    from pyspark.sql import functions as F
+
+    listed, _ = settle(dropped.toDF("_dropped").where("_dropped IS NOT NULL").distinct(), "dropped")
+    side = F.broadcast(listed) if listed.count() <= BROADCAST_KEYS else listed
+    return docs.join(side, docs[key] == F.col("_dropped"), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import bytes_of, chunks, map_arrow, settle
+from verdatrace.llm.common import bytes_of, chunks, map_arrow, settle, without_keys
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
@@ -239,3 +239,9 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those that hold a window of an item."""
+    found = phrase_matches(build_index(docs, key, text), items)
+    return without_keys(docs, key, found.where(F.size("spans") > 0).select("key"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import bytes_of, drop_path, map_arrow, settle
+from verdatrace.llm.common import bytes_of, drop_path, map_arrow, settle, without_keys
 from verdatrace.llm.graph import components
 
 #: Differing bits up to which fingerprints link.
@@ -224,7 +224,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     found = classes(docs, key, text)
     found, _ = settle(found.select(F.col(key).alias("_key"), "component_id"), "classes")
-    kept = docs.join(found.where("_key <> component_id").select("_key").distinct(), docs[key] == F.col("_key"), "left_anti")
+    kept = without_keys(docs, key, found.where("_key <> component_id").select("_key"))
     repeated = found.where("_key IS NOT NULL").groupBy("_key").count().where("count > 1")
     if repeated.isEmpty():
         return kept

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import bytes_of, map_arrow
+from verdatrace.llm.common import bytes_of, map_arrow, with_fields
 
 #: Hashed features: 2 ** BITS.
 BITS = 18
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         made = [indicators(x, flags).tobytes() for x in bytes_of(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["_id", "_label", "_features"])
 
-    table = map_arrow(sample.select("_id", "_text", "_label"), run, sample.select("_id", "_label").schema.add("_features", "binary")).toArrow()
+    table = map_arrow(sample.select("_id", "_text", "_label"), run, with_fields(sample.select("_id", "_label"), "_features binary")).toArrow()
     rows = sorted((zlib.crc32(str(i).encode()), str(i), c, f) for i, c, f in zip(*(x.to_pylist() for x in table.columns), strict=True))
     return fit([np.frombuffer(r[3], np.int32) for r in rows], np.array([r[2] for r in rows]), prior)
 

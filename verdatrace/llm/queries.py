@@ -71,10 +71,14 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(read(spark, sf_dir, "documents"))
 
 
+def _of_kind(kind: str) -> F.Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and how many of each kind there are."""
     found = pii.redact(read(spark, sf_dir, "documents").select("doc_id", "text"), spans="spans")
-    return found.select("doc_id", "text", F.size("spans").cast("bigint").alias("n_pii"), *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
+    return found.select("doc_id", "text", F.size("spans").cast("bigint").alias("n_pii"), *(_of_kind(k) for k in pii.KINDS), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

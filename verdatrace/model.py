@@ -15,11 +15,18 @@ from pyspark.sql import types as T
 #: Reflectance bands in canonical order.
 BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")
 
-_PIXEL = "row INT, col INT"
-OPTICAL = T.StructType.fromDDL(f"scene_id STRING, obs_id BIGINT, acq_date DATE, {_PIXEL}, " + ", ".join(f"{b} DOUBLE" for b in BANDS) + ", scl INT")
-RADAR = T.StructType.fromDDL(f"scene_id STRING, obs_id BIGINT, acq_date DATE, orbit_state STRING, {_PIXEL}, vv_db DOUBLE, vh_db DOUBLE")
-TRUTH_PIXELS = T.StructType.fromDDL(f"{_PIXEL}, patch_id INT")
-TRUTH_PATCHES = T.StructType.fromDDL("patch_id INT, name STRING, kind STRING, event_date DATE, reclear_date DATE, recovery_tau_years DOUBLE, recovery_target DOUBLE, requested_area_ha DOUBLE, area_ha DOUBLE, pixels BIGINT")
+_TYPES = {"STRING": T.StringType(), "BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "DATE": T.DateType()}
+
+
+def _schema(fields: str) -> T.StructType:
+    """A flat schema from ``name TYPE`` pairs, without a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(", "))])
+
+
+OPTICAL = _schema("scene_id STRING, obs_id BIGINT, acq_date DATE, row INT, col INT, " + ", ".join(f"{b} DOUBLE" for b in BANDS) + ", scl INT")
+RADAR = _schema("scene_id STRING, obs_id BIGINT, acq_date DATE, orbit_state STRING, row INT, col INT, vv_db DOUBLE, vh_db DOUBLE")
+TRUTH_PIXELS = _schema("row INT, col INT, patch_id INT")
+TRUTH_PATCHES = _schema("patch_id INT, name STRING, kind STRING, event_date DATE, reclear_date DATE, recovery_tau_years DOUBLE, recovery_target DOUBLE, requested_area_ha DOUBLE, area_ha DOUBLE, pixels BIGINT")
 
 
 def check_schema(df: DataFrame, expected: T.StructType) -> DataFrame:

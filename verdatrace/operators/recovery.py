@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from verdatrace.model import RegrowthConfig
 from verdatrace.operators.reducers import median
+from verdatrace.storage import settle
 
 DAYS_PER_YEAR = 365.25
 # Bounds of the time constant in years, and ages at which recovery is read.
@@ -274,10 +275,11 @@ def analyse(series: DataFrame, patches: DataFrame, events: DataFrame, config: Re
     ``patch_id, event_date``; ``patches``: ``patch_id, area_ha, tier``.
     """
     c = config or RegrowthConfig()
-    raw = seasonalise(series, c.season_months)
+    raw = settle(seasonalise(series, c.season_months), "seasons")
     moved = deseasonalise(raw, events, max(1, 12 // max(1, c.season_months))) if c.deseasonalise else raw
-    of = trajectories(moved, events).join(swing(raw, events), list(KEYS), "left")
-    fits = fit_curves(recovery_metrics(of, c), c)
+    # Series are tiny next to the observations behind them; each cut keeps plans short.
+    of = settle(trajectories(moved, events).join(swing(raw, events), list(KEYS), "left"), "trajectories")
+    fits = settle(fit_curves(recovery_metrics(of, c), c), "fits")
     again = reclearing(of.where(F.col("track") == "nbr"), F.col("seasonal_amplitude"), c).select("patch_id", "reclear_date")
     primary = fits.where(F.col("track") == "nbr").select("patch_id", "event_date", "recovery_fraction", "recent_slope_per_year", "seasonal_amplitude")
     records = patches.select("patch_id", "area_ha", "tier").join(primary, "patch_id", "left").join(again, "patch_id", "left").withColumn("classification", classify(config=c))

@@ -43,7 +43,7 @@ class Result:
         }
 
 
-def _settled(change: Change, tag: str) -> Change:
+def settled(change: Change, tag: str) -> Change:
     """Detections feed several later steps: written once, read again."""
     return Change(settle(change.pixels, tag), settle(change.offsets, f"{tag}-offsets"), settle(change.thresholds, f"{tag}-limits"), change.gates, change.independent, change.source)
 
@@ -87,11 +87,11 @@ def run(scene: Scene, config: PipelineConfig, tiers: tuple[str, ...] = ("confirm
         return made
 
     p, c = config.periods, config.detection
-    optical = step("detect_optical", lambda: _settled(detect_optical(scene.optical, p, c), "optical"))
+    optical = step("detect_optical", lambda: settled(detect_optical(scene.optical, p, c), "optical"))
     if scene.radar is not None:
-        evidence = step("detect_radar", lambda: _settled(detect_radar(scene.radar, p, c), "radar"))
+        evidence = step("detect_radar", lambda: settled(detect_radar(scene.radar, p, c), "radar"))
     else:
-        evidence = step("detect_persistence", lambda: _settled(detect_persistence(scene.optical, optical, p, c), "persistence"))
+        evidence = step("detect_persistence", lambda: settled(detect_persistence(scene.optical, optical, p, c), "persistence"))
 
     def fused() -> ClearingMap:
         made = fuse(optical, evidence, scene.grid, c)
@@ -104,7 +104,7 @@ def run(scene: Scene, config: PipelineConfig, tiers: tuple[str, ...] = ("confirm
 
     def regrown() -> tuple[DataFrame, DataFrame]:
         fits, records = recovery.analyse(anomaly_series(scene, clearing, tiers, p, config, undisturbed), clearing.of_tiers(*tiers), events, config.regrowth)
-        return settle(fits, "fits"), settle(records, "records")
+        return fits, settle(records, "records")
 
     fits, records = step("analyse_regrowth", regrown)
     result = Result(optical, evidence, clearing, dates, fits, records, seconds=seconds)
@@ -147,9 +147,9 @@ def scan_epochs(scene: Scene, config: PipelineConfig, first_year: int, last_year
         name = f"{year}-{year + 1}"
         try:
             p = Periods(date(year, *start), date(year, *end), date(year + 1, *start), date(year + 1, *end), config.periods.series_start, config.periods.series_end)
-            optical = _settled(detect_optical(scene.optical, p, c, check_phenology=False, masked=masked), "optical")
+            optical = settled(detect_optical(scene.optical, p, c, check_phenology=False, masked=masked), "optical")
             evidence = detect_radar(scene.radar, p, c) if scene.radar is not None else detect_persistence(scene.optical, optical, p, c, masked=masked)
-            clearing = fuse(optical, _settled(evidence, "evidence"), scene.grid, c)
+            clearing = fuse(optical, settled(evidence, "evidence"), scene.grid, c)
             woody = optical.pixels.agg(F.round(F.avg((F.col("woody_before") & F.col("persistently_woody") & F.col("steady_through_the_year")).cast("double")), 4).alias("woody_fraction"))
             of = F.col("tier") == "confirmed"
             tiers = clearing.patches.agg(F.count_if(of).alias("confirmed_patches"), F.round(F.coalesce(F.sum(F.when(of, F.col("area_ha"))), F.lit(0.0)), 2).alias("confirmed_ha"), F.round(F.coalesce(F.sum(F.when(~of, F.col("area_ha"))), F.lit(0.0)), 2).alias("review_ha"), F.round(F.coalesce(F.max(F.when(of, F.col("area_ha"))), F.lit(0.0)), 2).alias("largest_patch_ha"), F.round(F.coalesce(median(F.col("area_ha"), of), F.lit(0.0)), 2).alias("median_patch_ha"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdatrace.llm.common import bytes_of, chunks, drop_path, map_arrow, settle
-from verdatrace.llm.ngrams import PACKED, Counts, HashArray, bucket_count, packed, sum_buckets, total, windows
+from verdatrace.llm.ngrams import PACKED, Counts, HashArray, bucket_count, mix, packed, sum_buckets, total, windows
 from verdatrace.llm.quality import held_out
 
 #: Preceding bytes that a prediction looks at.
@@ -45,7 +45,7 @@ KEEP_BITS = 24
 #: A word is broadcast with a 2 ** HOT_BITS-th of the training tokens.
 HOT_BITS = 20
 #: Bytes of text of a segment, whose lookups travel together.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: The token that ends every text; no word has white space.
 END = b"\n"
 
@@ -109,7 +109,7 @@ class ContextTree:
                 weighted[inner] = mixed[inner]
             below = (key, weighted, n0 + n1)
             table = HashArray(key)
-            self.tables[d] = (table, ((n1 + 0.5) / (n0 + n1 + 1))[table.order], weight[table.order])
+            self.tables[d] = (table, ((n1 + 0.5) / (n0 + n1 + 1))[table.order].astype(np.float32), weight[table.order].astype(np.float32))
         code = grams[self.depth][0]
         self.known = HashArray(code)
         self.known_log = self._evaluate(code[self.known.order]).astype(np.float32)
@@ -136,7 +136,7 @@ class ContextTree:
                 table, estimate, weight = self.tables[d]
                 place = table.find(self._drop(node, d + 1))
                 ok = place >= 0
-                own, w = estimate[place[ok]], weight[place[ok]]
+                own, w = estimate[place[ok]].astype(float), weight[place[ok]].astype(float)
                 # Below the deepest node that was ever seen there is nothing to weigh against.
                 p[ok] = np.where(found[ok], w * own + (1 - w) * p[ok], own)
                 found |= ok
@@ -174,12 +174,13 @@ def count_corpus(docs: DataFrame, train: F.Column, text: str, depth: int, bucket
             words.clear()
 
         for batch in batches:
-            texts = [x.translate(_LOWER) for x in bytes_of(batch.column(0))]
-            for a, b in chunks(texts):
-                for x in texts[a:b]:
+            raw = bytes_of(batch.column(0))
+            for a, b in chunks(raw):
+                texts = [x.translate(_LOWER) for x in raw[a:b]]
+                for x in texts:
                     words.update(x.split())
                 words[END] += b - a
-                code, _ = windows(texts[a:b], depth + 1)
+                code, _ = windows(texts, depth + 1)
                 grams.add(*np.unique(code, return_counts=True))
                 if len(words) > 400_000:
                     yield from word_rows()
@@ -223,26 +224,25 @@ def _segments(docs: DataFrame, key: str, text: str, tree, hot, buckets: int) ->
         import uuid
 
         model, (table, values) = tree.value, hot.value
-        texts = [x.translate(_LOWER) for x in bytes_of(batch.column(1))]
-        for a, b in chunks(texts, SEGMENT_BYTES):
-            score = np.concatenate([model.score(texts[a:b][s:e]) for s, e in chunks(texts[a:b], 1 << 20)])
+        raw = bytes_of(batch.column(1))
+        for a, b in chunks(raw, SEGMENT_BYTES):
+            texts = [x.translate(_LOWER) for x in raw[a:b]]
+            score = np.concatenate([model.score(texts[s:e]) for s, e in chunks(texts, 1 << 19)])
             codes: dict[bytes, int] = {}
             tokens, lengths = [], []
-            for x in texts[a:b]:
+            for x in texts:
                 w = x.split()
                 w.append(END)
                 lengths.append(len(w))
-                tokens.append(np.fromiter((codes.setdefault(t, len(codes)) for t in w), np.int64, len(w)))
-            token, doc = np.concatenate(tokens), np.repeat(np.arange(b - a), lengths)
+                tokens.append(np.fromiter((codes.setdefault(t, len(codes)) for t in w), np.int32, len(w)))
+            token, doc = np.concatenate(tokens), np.repeat(np.arange(b - a, dtype=np.int32), lengths)
             keys = word_keys(list(codes))
             place = table.find(keys)
             value = np.where(place >= 0, values[np.maximum(place, 0)], 0) if len(values) else np.zeros(len(keys))
             known = (place >= 0)[token]
             cold = ~known
-            pair, times = np.unique(doc[cold] * len(keys) + token[cold], return_counts=True)
+            pair, times = np.unique(doc[cold].astype(np.int64) * len(keys) + token[cold], return_counts=True)
             asked, of = keys[pair % len(keys)], pair // len(keys)
-            from verdatrace.llm.ngrams import mix
-
             bucket = (mix(mix(asked)) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -251,7 +251,7 @@ def _segments(docs: DataFrame, key: str, text: str, tree, hot, buckets: int) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([uuid.uuid4().hex]), one(batch.column(0).slice(a, b - a).to_pylist(), batch.schema.field(0).type), one(batch.column(2).slice(a, b - a).to_pylist(), pa.bool_()),
-                    one(lengths, pa.int64()), one([len(x) for x in texts[a:b]], pa.int64()), one(np.bincount(doc[known], minlength=b - a), pa.int64()), one(np.bincount(doc, value[token] * known, b - a), pa.float64()), one(score, pa.float64()),
+                    one(lengths, pa.int64()), one([len(x) for x in texts], pa.int64()), one(np.bincount(doc[known], minlength=b - a), pa.int64()), one(np.bincount(doc, value[token] * known, b - a), pa.float64()), one(score, pa.float64()),
                     pa.array([requests], pa.list_(pa.struct([("bucket", pa.int32()), ("docs", pa.binary()), ("words", pa.binary()), ("times", pa.binary())]))),
                 ],
                 names=["segment", "keys", "held_out", "n_tokens", "n_bytes", "n_known", "hot", "score", "requests"],
@@ -305,6 +305,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     hot = spark.sparkContext.broadcast((table, np.log10(often.column(1).to_numpy() + 0.1)[table.order]))
     tree = spark.sparkContext.broadcast(train_tree(counted, depth))
     segments, _ = settle(_segments(rows, key, text, tree, hot, buckets), "scored")
+    tree.unpersist()
+    hot.unpersist()
     asked = segments.select("segment", F.explode("requests").alias("r")).select("segment", "r.*")
     replies = words.select("bucket", "keys", "counts").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answer, "segment string, docs binary, sums binary, known binary")
 

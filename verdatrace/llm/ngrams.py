@@ -26,15 +26,17 @@ class HashArray:
 
     def __init__(self, keys: np.ndarray):
         h = mix(np.ascontiguousarray(keys, np.uint64))
-        #: Values for the keys belong in this order.
+        #: Values for the keys belong in this order; it does not travel.
         self.order = np.argsort(h)
         self.hashes = h[self.order]
-        bits = max(1, int(len(h)).bit_length())
+        bits = max(1, int(len(h)).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
-        self.starts = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int64)
-        self.starts = np.append(self.starts, len(h))
+        self.starts = np.append(np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(h)).astype(np.int32)
         self.deepest = int(np.diff(self.starts).max(initial=0))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "order"}
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, or -1."""
         h = mix(keys)

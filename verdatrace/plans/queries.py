@@ -182,11 +182,11 @@ def d07_truth_kinds(spark, sf_dir):
 # -- reducers ---------------------------------------------------------------
 
 
-@query(f" SELECT r, c, round(quantile_cont(nir, 0.5) FILTER ({_VALID}), 6) AS nir_median, round(avg(swir1) FILTER ({_VALID}), 6) AS swir1_mean, CAST(count(*) FILTER ({_VALID}) AS BIGINT) AS n_obs FROM optical GROUP BY r, c")
+@query(f" SELECT r, c, round(quantile_cont(nir, 0.5) FILTER ({_VALID}), 6) AS nir_median, round(avg(swir1) FILTER ({_VALID}), 11) AS swir1_mean, CAST(count(*) FILTER ({_VALID}) AS BIGINT) AS n_obs FROM optical GROUP BY r, c")
 def e01_masked_median_mean_count(spark, sf_dir):
     m = _masked(fixture.scene(spark, sf_dir))
     both = m.groupBy("row", "col").agg(reducers.median(F.col("nir"), F.col("valid")).alias("nir"), F.avg(F.when(F.col("valid"), F.col("swir1"))).alias("swir1"), F.count_if("valid").alias("n_obs"))
-    return _rc(both, _r("nir").alias("nir_median"), _r("swir1").alias("swir1_mean"), "n_obs")
+    return _rc(both, _r("nir").alias("nir_median"), _r("swir1", 11).alias("swir1_mean"), "n_obs")
 
 
 _BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")

@@ -11,6 +11,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # Forms of the scene names, the orbit cycle, offsets by mission, and days between repeats.
 OPTICAL_NAME = r"(S2[ABC])_(\d{2}[A-Z]{3})_(\d{8})_(\d+)_L2A"
@@ -73,7 +74,7 @@ def in_bands(hour: Column, bands: list[tuple[int, int]]) -> Column:
     return out
 
 
-@F.udf("boolean")
+@F.udf(BooleanType())
 def covers(footprint: str, lon: float, lat: float) -> bool | None:
     """Whether a point lies in the outer rings of a GeoJSON footprint, by ray casting."""
     import json

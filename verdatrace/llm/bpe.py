@@ -15,7 +15,8 @@ above that level joining is plain concatenation.  Decoding concatenates byte
 strings up the same kind of tree.
 
 Nulls, empties and the rest: a null text counts as empty and gives no ids;
-repeated rows, null ids and extra columns pass through unchanged; an empty
+repeated rows, null ids and extra columns pass through unchanged (a column of
+the result's name is replaced); an empty
 table gives an empty table.
 """
 
@@ -164,6 +165,7 @@ def _vocabulary(df: DataFrame, path: str):
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text`` as a binary column (little-endian unsigned 32-bit); null: no ids."""
+    df = df.drop(out)
     data, place = _vocabulary(df, path), df.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -176,6 +178,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the packed ids stand for as a binary column; null: no bytes."""
+    df = df.drop(out)
     data, place = _vocabulary(df, path), df.columns.index(ids)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -111,4 +111,4 @@ def without_keys(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
 
     listed, _ = settle(dropped.toDF("_dropped").where("_dropped IS NOT NULL").distinct(), "dropped")
     side = F.broadcast(listed) if listed.count() <= BROADCAST_KEYS else listed
-    return docs.join(side, docs[key] == F.col("_dropped"), "left_anti")
+    return docs.join(side, docs[key] == side["_dropped"], "left_anti")

@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags.  The first pass decides blocks by
 link density, length and stop-word density, and by the section they stand in
 (menus, footers, sidebars, forms, adverts, notices and reader comments are bad
 as a whole).  Short and otherwise ambiguous blocks stay open; the second pass
-gives them the label of the nearest decided neighbour, of both sides and of the
-same article where the page marks one.
+gives them the label of the nearest decided neighbour, first among those of the
+same article or, without articles, of the same container.
 
 Nulls, empties and the rest: null, empty and tagless pages give an empty text
 or the text itself; unclosed and stray tags are put up with; an extraction
@@ -51,6 +51,8 @@ BLOCK_TAGS = frozenset(
     head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul
     """.split()
 )
+#: Elements that hold blocks together.
+CONTAINERS = frozenset("article aside body div footer form header main nav section td".split())
 # Elements whose content is never read as text.
 RAW_TAGS = "script|style|noscript|template|textarea|select|iframe|svg|math|object|canvas|audio|video|button|title|datalist"
 # Elements without content, which no tag closes.
@@ -93,13 +95,13 @@ def _section(tag: str, attrs: str, in_article: bool) -> str | None:
 
 
 class _Page:
-    """Blocks of one page: text, characters inside links, kind of bad section, and number of the article."""
+    """Blocks of one page: text, characters inside links, kind of bad section, number of the article, number of the container."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, str | None, int]] = []
+        self.blocks: list[tuple[str, int, str | None, int, int]] = []
         self.parts: list[str] = []
-        self.linked = self.links = self.articles = 0
-        self.stack: list[tuple[str, str | None, int]] = []  # tag, bad section, article that holds within
+        self.linked = self.links = self.articles = self.containers = 0
+        self.stack: list[tuple[str, str | None, int, int]] = []  # tag, and what holds within: bad section, article, container
         last = 0
         for m in _TOKEN.finditer(html):
             self.text(html[last : m.start()])
@@ -122,7 +124,7 @@ class _Page:
         if self.parts:
             whole = " ".join("".join(self.parts).split())
             if whole:
-                self.blocks.append((whole, self.linked, *(self.stack[-1][1:] if self.stack else (None, 0))))
+                self.blocks.append((whole, self.linked, *(self.stack[-1][1:] if self.stack else (None, 0, 0))))
             self.parts = []
         self.linked = 0
 
@@ -143,7 +145,10 @@ class _Page:
                     del self.stack[k:]
                     break
             return
-        bad, article = self.stack[-1][1:] if self.stack else (None, 0)
+        bad, article, container = self.stack[-1][1:] if self.stack else (None, 0, 0)
+        if tag in CONTAINERS:
+            self.containers += 1
+            container = self.containers
         if tag in BLOCK_TAGS or "class" in attrs or "id" in attrs or "role" in attrs or "hidden" in attrs or "style" in attrs:
             own = _section(tag, attrs, bool(article))
             if tag in ("article", "main") and not own and bad in ("ad", "notice", "menu", "header", None):
@@ -158,48 +163,58 @@ class _Page:
                 elif self.stack[k][0] in BLOCK_TAGS:
                     break
         if len(self.stack) < 2000:
-            self.stack.append((tag, bad, article))
+            self.stack.append((tag, bad, article, container))
 
 
-def classify(blocks: list[tuple[str, int, str | None, int]]) -> list[bool]:
+def classify(blocks: list[tuple[str, int, str | None, int, int]]) -> list[bool]:
     """Whether each block is main text."""
     labels: list[bool | None] = []
-    for text, linked, bad, article in blocks:
+    for text, linked, bad, article, _ in blocks:
         n = len(text)
-        if bad:
-            labels.append(False)
-        elif linked > MAX_LINKS * n:
+        if bad or linked > MAX_LINKS * n:
             labels.append(False)
+            continue
+        words = _WORD.findall(text.lower())
+        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if n <= SHORT:
+            labels.append(None)
+        elif density >= HIGH or (density >= LOW and n >= LONG):
+            labels.append(True)
         else:
-            words = _WORD.findall(text.lower())
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if n <= SHORT:
-                labels.append(None)
-            elif density >= HIGH or (density >= LOW and n >= LONG):
-                labels.append(True)
-            elif density >= LOW or article:
-                labels.append(None)
-            else:
-                labels.append(False)
-    return [x if x is not None else _inherit(k, blocks, labels) for k, x in enumerate(labels)]
+            labels.append(None if density >= LOW or article else False)
+    return [_inherit(k, blocks, labels) if x is None else x for k, x in enumerate(labels)]
 
 
-def _inherit(k: int, blocks: list, labels: list[bool | None]) -> bool:
-    """Label of the nearest decided neighbour; with both as near, good only if both are. In an article without any, good."""
-    article, found = blocks[k][3], []
+def _nearest(k: int, labels: list[bool | None], among) -> list[tuple[int, bool]]:
+    """Distance and label of the nearest decided block on either side, of those that ``among`` accepts."""
+    found = []
     for step in (-1, 1):
         at = k + step
-        while 0 <= at < len(blocks) and (labels[at] is None or blocks[at][3] != article or (article and blocks[at][2])):
-            if article and blocks[at][3] not in (article, 0):
-                break
+        while 0 <= at < len(labels) and (labels[at] is None or not among(at)):
             at += step
-        if 0 <= at < len(blocks) and blocks[at][3] == article and labels[at] is not None:
-            found.append((abs(at - k), labels[at]))
+        if 0 <= at < len(labels):
+            found.append((abs(at - k), bool(labels[at])))
+    return found
+
+
+def _inherit(k: int, blocks: list, labels: list[bool | None]) -> bool:
+    """Label of the nearest decided neighbour.
+
+    Inside an article only links are bad and prose stands between them, so one
+    good neighbour is enough, and none at all is good.  Elsewhere neighbours in
+    the same container come first, and one good of two as near is enough there;
+    across containers both must be good.  A page without any decided block is
+    taken whole.
+    """
+    *_, article, container = blocks[k]
     if article:
-        # Inside an article only links are bad, and prose stands between them.
+        found = _nearest(k, labels, lambda at: blocks[at][3] == article and not blocks[at][2])
         return not found or any(x for _, x in found)
-    if not found:
-        return not any(x is False for x in labels)
+    if found := _nearest(k, labels, lambda at: blocks[at][4] == container):
+        near = min(d for d, _ in found)
+        return any(x for d, x in found if d == near)
+    if not (found := _nearest(k, labels, lambda at: True)):
+        return True
     near = min(d for d, _ in found)
     return all(x for d, x in found if d == near)
 

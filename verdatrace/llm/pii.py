@@ -15,8 +15,8 @@ and day/month/year dates.
 
 Nulls, empties and the rest: null and empty texts stay as they are; values that
 fail validation stay; where candidates overlap, the leftmost and there the first
-listed is taken; repeated rows are treated alike; extra columns pass through; an
-empty table gives an empty table.
+listed is taken; repeated rows are treated alike; extra columns pass through (one named like
+``spans`` is replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -260,6 +260,7 @@ def pseudonymise(text: str, walk: Walk) -> tuple[str, list[tuple[str, int, int]]
 
 def redact(docs: DataFrame, text: str = "text", key: bytes = DEMO_KEY, spans: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text``; with ``spans``, a column of that name lists kinds and places."""
+    docs = docs.drop(spans) if spans else docs
     place = docs.columns.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     schema = with_fields(docs, f"{spans} array<struct<kind: string, start: int, end: int>>") if spans else docs.schema

@@ -195,7 +195,7 @@ def measure(docs: DataFrame, model: KneserNey, known: list[str], key: str = "doc
         sizes = [len(x.decode("utf-8", "surrogateescape")) for x in texts]
         shapes = np.array([shape(x, n) for x, n in zip(texts, sizes, strict=True)], np.int64)
         bits = np.zeros(len(texts))
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 1 << 19):
             code, lengths = windows(texts[a:b], ORDER)
             logs = shared.value.log2(code | np.repeat(of[a:b] << np.uint64(48), lengths))
             bits[a:b] = -np.add.reduceat(logs, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / lengths

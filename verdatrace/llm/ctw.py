@@ -86,13 +86,15 @@ class ContextTree:
         below = None
         for d in range(self.depth, -1, -1):
             code, count = grams[d]
-            keys, zeros, ones = [], [], []
+            # Decisions differ in their leading ones, so each has nodes of its own.
+            parts = []
             for k in range(8):
-                keys.append(self._node(code, k))
-                bit = (code >> np.uint64(7 - k)) & np.uint64(1)
-                ones.append(np.where(bit == 1, count, 0))
-                zeros.append(np.where(bit == 0, count, 0))
-            key, n = total(np.concatenate(keys), np.stack([np.concatenate(zeros), np.concatenate(ones)], 1))
+                bit = ((code >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+                parts.append(total(self._node(code, k), np.stack([count * ~bit, count * bit], 1)))
+            key, n = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            del parts, order
             n0, n1 = n[:, 0].astype(float), n[:, 1].astype(float)
             own = _block(n0, n1)
             weighted, weight = own.copy(), np.ones(len(key))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdatrace.llm import bpe, ctw, decontaminate, licenses, mainpage, neardup, pii, quality, rules, secrets
 from verdatrace.llm.common import read
+from verdatrace.llm.oracles import ORACLES  # noqa: F401  (registered beside QUERIES)
 
 #: Score from which on a document is good.
 GOOD = 0.3
@@ -85,22 +86,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_byte_bpe, op2_quality_classifier, op3_benchmark_decontamination, op4_html_extraction, op5_license_scan, op6_quality_rules, op7_simhash_near_dedup, op8_secret_scan, op9_lm_scoring, op10_pii_pseudonyms)
 }
-
-_WINDOWS = """
-    item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-    wins AS (SELECT DISTINCT item, list_slice(w, k, k + 9) AS win FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM item_words WHERE len(w) > 0)),
-    doc_words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-    sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
-    places AS (SELECT rid, k, n, list_slice(w, k, k + n - 1) AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM doc_words, sizes WHERE len(w) >= n)),
-    hits AS (SELECT rid, k, n, item FROM places JOIN wins USING (win)),
-    covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT rid, k, n FROM hits)) GROUP BY rid),
-    found AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid)
-"""
-
-#: DuckDB SQL with the same rows, where SQL can express an operator.
-ORACLES: dict[str, str] = {
-    "op3_benchmark_decontamination": f"""WITH {_WINDOWS}
-        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM doc_words LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)""",
-}

@@ -228,7 +228,7 @@ class PipelineConfig:
 def demo_config() -> PipelineConfig:
     """A five-kilometre area with one before and one after year. Fixed values."""
     return PipelineConfig(
-        AOI("Pilliga East (demo)", 149.10, -30.95, 149.16, -30.90, "EPSG:32755"),
+        AOI("Demonstration area", 149.10, -30.95, 149.16, -30.90, "EPSG:32755"),
         Periods(date(2019, 3, 1), date(2019, 11, 30), date(2020, 3, 1), date(2020, 11, 30), date(2019, 1, 1), date(2025, 12, 31)),
     )
 

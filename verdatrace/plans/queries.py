@@ -792,3 +792,93 @@ def a27_repeat_passes(spark, sf_dir):
 @query(f", cf AS (SELECT scene, 1 - avg(CASE WHEN {_VALID} THEN 1.0 ELSE 0.0 END) AS c FROM optical GROUP BY 1) SELECT CAST(count(*) FILTER (c <= 0.16) AS BIGINT) AS days FROM cf")
 def a11_cloud_free_days(spark, sf_dir):
     return masks.cloud_free_days(fixture.scene(spark, sf_dir).optical, 0.16)
+
+
+@query(" SELECT tier, CAST(count(*) AS BIGINT) AS pixels, round(CAST(count(*) * 0.01 AS DOUBLE), 4) AS area_ha FROM (SELECT DISTINCT r, c, CASE truth_id WHEN 20 THEN 's2_only' ELSE 'confirmed' END AS tier FROM radar WHERE truth_id IN (1, 2, 20)) GROUP BY tier")
+def d08_tier_masks(spark, sf_dir):
+    _, m = _shifted(spark, sf_dir)
+    out = None
+    for t in ("confirmed", "s2_only"):
+        one = m.mask(t).agg(F.count("*").alias("pixels")).where("pixels > 0").crossJoin(m.area_ha(t)).select(F.lit(t).alias("tier"), "pixels", F.round("area_ha", 4).alias("area_ha"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query(f", {_POSTS} SELECT CAST(truth_id AS INT) AS patch_id, sd AS season_date, round(y, 9) AS years, round(v, 6) AS value FROM po")
+def k06_years_since(spark, sf_dir):
+    made = recovery.years_since(recovery.seasonalise(_series(spark, sf_dir)), _events(spark))
+    return made.select("patch_id", "season_date", F.round("years", 9).alias("years"), _r("value").alias("value"))
+
+
+@query(f", {_POSTS}, fx AS (SELECT truth_id, trough, base, base + 0.1 AS a, trough AS r, 2.0 + truth_id / 10.0 AS tau FROM mt JOIN bl USING (truth_id)) SELECT CAST(truth_id AS INT) AS patch_id, round(tau * ln(2), 6) AS half_life_years, round(-tau * ln((trough + 0.8 * (base - trough) - a) / (r - a)), 6) AS years_to_80pct FROM fx")
+def k12_half_life(spark, sf_dir):
+    m = recovery.recovery_metrics(_of(spark, sf_dir)).withColumns({"asymptote": F.col("baseline") + 0.1, "trough_fit": F.col("trough"), "tau_years": 2.0 + F.col("patch_id") / 10.0})
+    return recovery.derived(m).select("patch_id", _r("half_life_years").alias("half_life_years"), _r("years_to_80pct").alias("years_to_80pct"))
+
+
+@query("SELECT track, age, round(avg(v), 9) AS value, CAST(count(*) AS BIGINT) AS patches FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'ndvi' WHEN 1 THEN 'nbr' ELSE 'vh' END AS track, unnest(['recovery_at_1yr', 'recovery_at_2yr', 'recovery_at_5yr']) AS age, unnest([p_size / 50.0, CASE WHEN p_size > 10 THEN p_size / 40.0 END, CASE WHEN p_size > 30 THEN p_size / 30.0 END]) AS v FROM part) WHERE v IS NOT NULL GROUP BY track, age", views=False)
+def p06_early_recovery(spark, sf_dir):
+    p, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey") % 3
+    fits = p.select(F.when(k == 0, "ndvi").when(k == 1, "nbr").otherwise("vh").alias("track"), (F.col("p_size") / 50).alias("recovery_at_1yr"), F.when(F.col("p_size") > 10, F.col("p_size") / 40).alias("recovery_at_2yr"), F.when(F.col("p_size") > 30, F.col("p_size") / 30).alias("recovery_at_5yr"))
+    return recovery.early_recovery(fits).select("track", "age", F.round("value", 9).alias("value"), "patches")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS scene_id, CAST(l * 100 AS BIGINT) AS line, CAST(i * 40 AS BIGINT) AS pixel, CAST(300 + p_size + 10 * l + i AS DOUBLE) AS value FROM part, (SELECT unnest(range(0, 2)) AS l), (SELECT unnest(range(0, 3)) AS i)", views=False)
+def p01_calibration_lut(spark, sf_dir):
+    from verdatrace.sources import calibration
+
+    values = lambda l: F.concat_ws(" ", *((300 + F.col("p_size") + 10 * l + i).cast("string") for i in range(3)))
+    vector = lambda l: F.concat(F.lit(f"<calibrationVector><line>{l * 100}</line><pixel>0 40 80</pixel><gamma>"), values(l), F.lit("</gamma></calibrationVector>"))
+    xml = F.concat(F.lit("<calibration>"), vector(0), vector(1), F.lit("</calibration>"))
+    notes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("scene_id"), xml.alias("xml"))
+    return calibration.calibration_lut(notes).select("scene_id", "line", "pixel", "value")
+
+
+@query(", dn AS (SELECT r, c, sum(n) AS dn, CAST(20 + r % 7 AS DOUBLE) AS g, CAST(c * 300 AS DOUBLE) AS z FROM st GROUP BY r, c), p AS (SELECT r, c, (dn * dn - z) / (g * g) AS p FROM dn) SELECT CAST(floor(r / 2.0) AS INT) AS r, CAST(floor(c / 2.0) AS INT) AS c, round(10 * log10(avg(CASE WHEN p > 0 THEN p END)), 6) AS db FROM p GROUP BY 1, 2")
+def p03_calibrate(spark, sf_dir):
+    from verdatrace.sources import calibration
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.floor(F.col("l_partkey") / 50).cast("int").alias("row"), (F.col("l_partkey") % 50).cast("int").alias("col")).agg(F.sum(F.col("l_quantity").cast("int")).cast("double").alias("dn"))
+    return _rc(calibration.calibrate(li.withColumns({"gain": (20 + F.col("row") % 7).cast("double"), "noise": (F.col("col") * 300).cast("double")}), 2), _r("db").alias("db"))
+
+
+@query()
+def l06_headline(spark, sf_dir):
+    s, m = _shifted(spark, sf_dir)
+    cleared = s.truth_patches.where("kind = 'clearing'")
+    accuracy = assess.confusion(m.mask("confirmed"), s.truth_pixels.where("patch_id IN (1, 2)"), s.grid)
+    return assess.headline(accuracy, assess.area_bias(m, cleared))
+
+
+@query(f", {_SHIFT}, tr AS (SELECT truth_id, count(*) AS n FROM (SELECT DISTINCT r, c, truth_id FROM radar WHERE truth_id IN (1, 2)) GROUP BY 1), k AS (SELECT (SELECT count(*) FROM sh WHERE id <> 120) * 0.01 AS d, (SELECT sum(n) FROM tr) * 0.01 AS r) SELECT round(CAST(d AS DOUBLE), 2) AS detected_ha, round(CAST(r AS DOUBLE), 2) AS reference_ha, round(CAST(d - r AS DOUBLE), 2) AS bias_ha, round(CAST(100 * (d - r) / r AS DOUBLE), 2) AS bias_percent FROM k")
+def l05_area_bias(spark, sf_dir):
+    s, m = _shifted(spark, sf_dir)
+    return assess.area_bias(m, s.truth_patches.where("kind = 'clearing'"))
+
+
+@query("SELECT round(quantile_cont(a, 0.5), 6) AS s2_median_days, round(quantile_cont(b, 0.5), 6) AS s1_median_days, CAST(max(a) AS DOUBLE) AS s2_max_days, CAST(max(b) AS DOUBLE) AS s1_max_days, round(quantile_cont(a, 0.5) - quantile_cont(b, 0.5), 6) AS advantage_days FROM (SELECT CASE WHEN p_partkey % 4 > 0 THEN p_size END AS a, CASE WHEN p_partkey % 3 > 0 THEN p_size % 7 END AS b FROM part)", views=False)
+def j04_latency_summary(spark, sf_dir):
+    k, day = F.col("p_partkey"), F.lit(fixture.EVENT)
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.cast("int").alias("patch_id"), F.when(k % 4 > 0, F.date_add(day, F.col("p_size"))).alias("s2_detection_date"), F.when(k % 3 > 0, F.date_add(day, F.col("p_size") % 7)).alias("s1_detection_date"), day.alias("first_detection_date"))
+    truth = t.select("patch_id", day.alias("event_date"))
+    return assess.latency_summary(timing.with_latency(t, truth)).select(*(_r(c).alias(c) for c in ("s2_median_days", "s1_median_days", "s2_max_days", "s1_max_days", "advantage_days")))
+
+
+@query("SELECT p_partkey, round(0.2126 * CASE WHEN a <= 0.04045 THEN a / 12.92 ELSE pow((a + 0.055) / 1.055, 2.4) END + 0.7152 * CASE WHEN b <= 0.04045 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END + 0.0722 * CASE WHEN e <= 0.04045 THEN e / 12.92 ELSE pow((e + 0.055) / 1.055, 2.4) END, 9) AS luminance FROM (SELECT p_partkey, (p_partkey % 256) / 255.0 AS a, (p_partkey * 7 % 256) / 255.0 AS b, (p_partkey * 13 % 256) / 255.0 AS e FROM part)", views=False)
+def c25_relative_luminance(spark, sf_dir):
+    k = F.col("p_partkey")
+    colour = F.format_string("#%02x%02x%02x", k % 256, k * 7 % 256, k * 13 % 256)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.round(ix.relative_luminance(colour), 9).alias("luminance"))
+
+
+@query()
+def a19_catalogues(spark, sf_dir):
+    return listings.catalogues(spark)
+
+
+@query()
+def o09_synthetic_scene(spark, sf_dir):
+    from verdatrace.sources import synthetic
+
+    s = synthetic.generate(spark, size=64, seed=7, start=date(2019, 12, 1), end=date(2020, 3, 31))
+    return s.optical.groupBy("acq_date").agg(F.count("*").alias("pixels"), _r(F.avg("nir"), 4).alias("nir"), F.count_if(F.col("scl") == 9).alias("cloudy"))

@@ -131,3 +131,42 @@ def stac_items(items: DataFrame, collection: str, bbox: tuple[float, float, floa
     if found.isEmpty():
         raise LookupError("no items match")
     return found
+
+
+def tile_for(lon: float, lat: float) -> str:
+    """Name of the 100 km tile of a place, such as ``55JGG``, between 80 degrees south and 84 north."""
+    from verdatrace.model import utm_forward
+
+    if not -80 <= lat <= 84:
+        raise ValueError("tiles reach from 80 degrees south to 84 north")
+    zone = int((lon + 180) // 6) % 60 + 1
+    band = "CDEFGHJKLMNPQRSTUVWX"[min(int((lat + 80) // 8), 19)]
+    if band == "V" and zone == 31 and lon >= 3:
+        zone = 32
+    if band == "X" and 31 < zone < 37 and zone % 2 == 0:  # the even zones around Svalbard are left out
+        zone += 1 if (lon - (6 * zone - 186)) >= 3 else -1
+    east, north = utm_forward(lon, lat, zone, lat < 0)
+    column = ("STUVWXYZ", "ABCDEFGH", "JKLMNPQR")[zone % 3][int(east // 100_000) - 1]
+    row = "ABCDEFGHJKLMNPQRSTUV"[(int(north // 100_000) + (0 if zone % 2 else 5)) % 20]
+    return f"{zone:02d}{band}{column}{row}"
+
+
+def grid_for_aoi(tile: str, lon: float, lat: float, size: int, resolution: float, crs: str | None = None):
+    """A square grid around a place, its origin on a whole multiple of the resolution of the tile's zone."""
+    from verdatrace.functions.indices import zone_and_band
+    from verdatrace.model import Grid, utm_forward
+
+    zone, band, _ = zone_and_band(tile)
+    south = band < "N"
+    crs = crs or f"EPSG:{'327' if south else '326'}{int(zone):02d}"
+    east, north = utm_forward(lon, lat, int(crs[-2:]), crs[-5:-2] == "327")
+    half = size * resolution / 2
+    return Grid.from_origin(crs, math.floor((east - half) / resolution) * resolution, math.ceil((north + half) / resolution) * resolution, resolution, size, size)
+
+
+def grid_from_centres(xs: list[float], ys: list[float], crs: str):
+    """The grid whose pixel centres these are: half a pixel out from the first, north up."""
+    from verdatrace.model import Grid
+
+    dx, dy = abs(xs[1] - xs[0]), abs(ys[1] - ys[0])
+    return Grid(crs, dx, 0.0, min(xs) - dx / 2, 0.0, -dy, max(ys) + dy / 2, len(xs), len(ys))

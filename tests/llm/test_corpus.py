@@ -285,8 +285,10 @@ def test_op6_probabilities_sum_to_one_and_match_brute_force(spark):
         if not own:
             return low
         total = sum(v for _, v in own)
-        gamma = min(max(sum(disc[m][min(v, 3) - 1] for _, v in own) / total, 1e-6), 1)
+        cut = m > 1  # n-grams seen once give all they have to the shorter ones
+        gamma = min(max(sum(1 if cut and v == 1 else disc[m][min(v, 3) - 1] for _, v in own) / total, 1e-6), 1)
         c = tables[m].get(g, 0)
+        c = 0 if cut and c == 1 else c
         return (max(c - disc[m][min(c, 3) - 1], 0) / total if c else 0) + gamma * low
 
     for g in code[:60]:
@@ -535,3 +537,12 @@ def test_pipeline_against_brute_force(spark, tmp_path, table, coder):
     got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and 600 not in got and 0 not in got and 700 in got
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "pii_pseudonyms", "byte_bpe"]
+
+
+def test_op6_bands_reject_noise_and_repetition(spark):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 90), "en") for k in range(300)]
+    noise = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(4)) for _ in range(80))
+    rows += [(900, noise, "en"), (901, "".join(rng.choice("qxzjkvwy") for _ in range(3)) + " " + prose(rng, 100), "en")]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not got[900]["base_failed"] and not got[900]["kept"] and got[901]["kept"] and all(got[k]["kept"] for k in range(300) if not got[k]["base_failed"])

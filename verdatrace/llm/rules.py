@@ -6,7 +6,8 @@ totals of an interpolated modified Kneser-Ney model.  The model is kept in
 sorted hash arrays and sent to the executors.  A text is rejected if it fails a
 base rule, or if its perplexity lies outside the lower and upper limits of its
 language.  The limits are robust: the median of the bits per byte of all
-texts that pass the base rules, and so many times the typical spread around it.
+texts that pass the base rules, and so many times the typical spread around it,
+but never so near that a clean text with a quotation falls out.
 
 An n-gram (and a context) is kept with at least one ``2 ** KEEP_BITS``-th of all
 counts of its order, so an order has fewer than ``2 ** KEEP_BITS`` of them for
@@ -35,10 +36,13 @@ from verdatrace.llm.ngrams import Counts, HashArray, windows
 ORDER = 5
 #: An n-gram is kept with a 2 ** KEEP_BITS-th of its order's counts.
 KEEP_BITS = 22
+#: Least count of an n-gram of two bytes or more: one seen once tells about its own text only, so it is backed off from.
+MIN_COUNT = 2
 #: Spreads below and above the median of a language at which a text is rejected.
-LOWER, UPPER = 8.0, 8.0
-#: Least spread in bits per byte, for languages whose texts are all alike.
-LEAST_SPREAD = 0.02
+SPREADS = 8.0
+#: Least distance of the lower and the upper limit from the median, in bits per byte. A clean text that quotes another
+#: language costs up to two bits more than its own language's; noise and endless repetition lie farther out.
+LEAST_LOWER, LEAST_UPPER = 0.9, 2.5
 #: Steps of a bit in which bits per byte are counted for the limits.
 STEPS = 1024
 
@@ -115,7 +119,9 @@ class KneserNey:
         for m in range(1, ORDER + 1):
             key, whole, n1, n2, n3 = contexts[m]
             d = np.array([discounts.get((int(k), m), (0.5, 0.5, 0.5)) for k in key >> np.uint64(48)]).reshape(-1, 3)
-            gamma = np.clip((d[:, 0] * n1 + d[:, 1] * n2 + d[:, 2] * n3) / whole, 1e-6, 1.0)
+            # The mass of n-grams that are left out for being seen once goes to the shorter ones.
+            once = 1.0 if m > 1 and MIN_COUNT > 1 else d[:, 0]
+            gamma = np.clip((once * n1 + d[:, 1] * n2 + d[:, 2] * n3) / whole, 1e-6, 1.0)
             table = HashArray(key)
             self.contexts[m] = (table, whole[table.order].astype(float), np.log2(gamma)[table.order])
             key, count = grams[m]
@@ -169,7 +175,7 @@ def fit(docs: DataFrame, known: list[str], lang: str = "lang", text: str = "text
             discounts[r["lang"], m] = tuple(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
         whole = table.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
         high = F.shiftleft(F.col("lang").cast("bigint"), 48)
-        kept = table.where(F.col("c") * (1 << KEEP_BITS) >= whole).select(high.bitwiseOR(F.col("gram")).alias("k"), "c").toArrow()
+        kept = table.where((F.col("c") * (1 << KEEP_BITS) >= whole) & (F.col("c") >= (MIN_COUNT if m > 1 else 1))).select(high.bitwiseOR(F.col("gram")).alias("k"), "c").toArrow()
         grams[m] = (np.ascontiguousarray(kept.column(0).to_numpy()).view(np.uint64), kept.column(1).to_numpy())
         of = table.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("s"), *(F.count_if(c).alias(f"n{k}") for k, c in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") >= 3))))
         kept = of.where(F.col("s") * (1 << KEEP_BITS) >= whole).select(high.bitwiseOR(F.col("context")).alias("k"), "s", "n1", "n2", "n3").toArrow()
@@ -216,8 +222,8 @@ def limits(measured: DataFrame) -> dict[int, tuple[float, float]]:
         middle = lambda v, n: v[np.searchsorted(np.cumsum(n), n.sum() / 2)]
         centre = middle(x, n)
         order = np.argsort(abs(x - centre))
-        spread = max(1.4826 * middle(abs(x - centre)[order], n[order]) / STEPS, LEAST_SPREAD)
-        out[of] = (float(centre / STEPS - LOWER * spread), float((centre + 1) / STEPS + UPPER * spread))
+        spread = SPREADS * 1.4826 * middle(abs(x - centre)[order], n[order]) / STEPS
+        out[of] = (float(centre / STEPS - max(spread, LEAST_LOWER)), float((centre + 1) / STEPS + max(spread, LEAST_UPPER)))
     return out
 
 

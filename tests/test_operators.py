@@ -30,6 +30,14 @@ def test_one_cloud_pixel(spark):
     assert masks.scl_valid(obs, radius=2).where("valid").count() == 81 - 13
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3, 5])
+def test_dense_dilation_equals_sparse(spark, radius):
+    rng = random.Random(radius)
+    obs = spark.createDataFrame([(s, y, x, rng.choice([4, 4, 4, 4, 4, 4, 4, 4, 4, 9, 3, 0])) for s in "ab" for y in range(15) for x in range(17)], "scene_id string, row int, col int, scl int")
+    pick = lambda df: sorted(tuple(r) for r in df.select("scene_id", "row", "col", "valid").collect())
+    assert pick(masks.scl_valid(obs, radius=radius, dense=True)) == pick(masks.scl_valid(obs, radius=radius))
+
+
 def test_masked_median(spark):
     obs = spark.createDataFrame([(0, 0, 1.0, True), (0, 0, 100.0, False), (0, 0, 3.0, True), (0, 1, 5.0, False)], "row int, col int, v double, valid boolean")
     got = {(r["row"], r["col"]): r["v"] for r in reducers.masked_median(obs, ["v"]).collect()}

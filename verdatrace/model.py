@@ -243,13 +243,14 @@ def flatten(value: dict, prefix: str = "") -> list[tuple[str, Any]]:
 
 @dataclass
 class Scene:
-    """Observations on one grid, with the truth where it is known."""
+    """Observations on one grid, with the truth where it is known; ``dense`` if every scene has all pixels."""
 
     grid: Grid
     optical: DataFrame
     radar: DataFrame | None = None
     truth_pixels: DataFrame | None = None
     truth_patches: DataFrame | None = None
+    dense: bool = False
 
 
 def utm_forward(lon: float, lat: float, zone: int, south: bool) -> tuple[float, float]:

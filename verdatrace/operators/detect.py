@@ -59,7 +59,7 @@ def _between(start: date, end: date) -> Column:
     return F.col("acq_date").between(F.lit(start), F.lit(end))
 
 
-def detect_optical(obs: DataFrame, periods: Periods, config: DetectionConfig | None = None, check_phenology: bool = True, masked: DataFrame | None = None) -> Change:
+def detect_optical(obs: DataFrame, periods: Periods, config: DetectionConfig | None = None, check_phenology: bool = True, masked: DataFrame | None = None, dense: bool = False) -> Change:
     """Loss of canopy between two windows: enough views, woody, persistently so, no water, steady, and both drops.
 
     All statistics of a pixel, of both windows, come from one grouping of its
@@ -73,7 +73,7 @@ def detect_optical(obs: DataFrame, periods: Periods, config: DetectionConfig | N
     pre, post, swing = _between(periods.pre_start, periods.pre_end), _between(periods.post_start, periods.post_end), _between(swing_start, periods.pre_end)
     wants_swing = config.max_pre_seasonal_amplitude is not None
     if masked is None:
-        masked = scl_valid(screen_scenes(obs.where(pre | post | swing if wants_swing else pre | post), config.max_cloud_cover), radius=config.dilation_pixels)
+        masked = scl_valid(screen_scenes(obs.where(pre | post | swing if wants_swing else pre | post), config.max_cloud_cover), radius=config.dilation_pixels, dense=dense)
     pre_first, pre_then = medoid_columns("pre_", pre)
     post_first, post_then = medoid_columns("post_", post)
     v, n = index("ndvi", F.col("valid")), index("nbr", F.col("valid"))
@@ -173,7 +173,7 @@ def seasonal_windows(start: date, count: int, months: int = 3, skip_months: int
     return [(a, b - timedelta(days=1)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def detect_persistence(obs: DataFrame, optical: Change, periods: Periods, config: DetectionConfig | None = None, seasons: int = 4, season_months: int = 3, skip_months: int = 3, min_seasons_below: int | None = None, min_seasons_observed: int = 2, tolerance: float = 0.6, masked: DataFrame | None = None) -> Change:
+def detect_persistence(obs: DataFrame, optical: Change, periods: Periods, config: DetectionConfig | None = None, seasons: int = 4, season_months: int = 3, skip_months: int = 3, min_seasons_below: int | None = None, min_seasons_observed: int = 2, tolerance: float = 0.6, masked: DataFrame | None = None, dense: bool = False) -> Change:
     """Whether the drop was still there in later seasons, each against its own offset.
 
     Observations meet their windows in one join with the few windows, and each
@@ -186,7 +186,7 @@ def detect_persistence(obs: DataFrame, optical: Change, periods: Periods, config
     dim = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(windows)], "season int, w_start date, w_end date")
     if masked is None:
         last = max((b for _, b in windows), default=periods.post_start)
-        masked = scl_valid(screen_scenes(obs.where(_between(periods.post_start, last)), config.max_cloud_cover), radius=config.dilation_pixels)
+        masked = scl_valid(screen_scenes(obs.where(_between(periods.post_start, last)), config.max_cloud_cover), radius=config.dilation_pixels, dense=dense)
     tagged = masked.join(F.broadcast(dim), F.col("acq_date").between(F.col("w_start"), F.col("w_end")))
     first, then = medoid_columns()
     level = optical.thresholds.select((F.col("dnbr_threshold") * tolerance).alias("_level"), F.col("dnbr_threshold").alias("_limit"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Scene classes that are usable, and those that are grown before masking.
@@ -26,8 +28,32 @@ def dilate(pixels: DataFrame, radius: int, keys: tuple[str, ...] = ()) -> DataFr
     return near.select(*keys, (F.col("row") + F.col("o.y")).alias("row"), (F.col("col") + F.col("o.x")).alias("col")).distinct()
 
 
-def scl_valid(obs: DataFrame, valid: tuple[int, ...] = VALID_SCL, grown: tuple[int, ...] = DILATED_SCL, radius: int = 3, scene: str = "scene_id") -> DataFrame:
-    """``obs`` with ``valid``: a usable class that no grown class of the same scene lies near."""
+def _near_dense(obs: DataFrame, bad: Column, radius: int, scene: str) -> DataFrame:
+    """``obs`` with ``_near``, for scenes without gaps: one pass along rows, one along columns.
+
+    A disc is a stack of row segments, so the rows' running maxima of each
+    segment length are looked up at the rows above and below.  Nothing is
+    multiplied, however cloudy the scene.
+    """
+    reach = {y: max(x for yy, x in disc(radius) if yy == y) for y in range(radius + 1)}
+    along, down = W.partitionBy(scene, "row").orderBy("col"), W.partitionBy(scene, "col").orderBy("row")
+    widths = sorted(set(reach.values()))
+    flagged = obs.withColumn("_bad", bad.cast("int")).select("*", *(F.max("_bad").over(along.rangeBetween(-w, w)).alias(f"_w{w}") for w in widths))
+    # Rows up to the farthest at which a segment of this length, or a longer one, still lies in the disc.
+    tall = {w: max(y for y, x in reach.items() if x >= w) for w in widths}
+    near = reduce(lambda a, b: F.greatest(a, b), [F.max(f"_w{w}").over(down.rangeBetween(-tall[w], tall[w])) for w in widths] + [F.lit(0)])
+    return flagged.withColumn("_near", near == 1).drop("_bad", *(f"_w{w}" for w in widths))
+
+
+def scl_valid(obs: DataFrame, valid: tuple[int, ...] = VALID_SCL, grown: tuple[int, ...] = DILATED_SCL, radius: int = 3, scene: str = "scene_id", dense: bool = False) -> DataFrame:
+    """``obs`` with ``valid``: a usable class that no grown class of the same scene lies near.
+
+    Without ``dense`` only the bad pixels are multiplied and joined, which suits
+    scattered observations and clear skies; ``dense`` is for whole rasters.
+    """
+    if dense and radius > 0:
+        near = _near_dense(obs, F.coalesce(F.col("scl").isin(*grown), F.lit(False)), radius, scene)
+        return near.withColumn("valid", F.coalesce(F.col("scl").isin(*valid), F.lit(False)) & ~F.col("_near")).drop("_near")
     usable = F.coalesce(F.col("scl").isin(*valid), F.lit(False))
     if radius <= 0:
         return obs.withColumn("valid", usable)

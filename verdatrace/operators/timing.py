@@ -37,7 +37,7 @@ def _levels(pixels: DataFrame, patch_pixels: DataFrame, before: str, after: str)
     return patch_pixels.join(pixels.select("row", "col", before, after), ["row", "col"]).groupBy("patch_id").agg(F.avg(before).alias("baseline"), F.avg(after).alias("floor"))
 
 
-def estimate(optical_obs: DataFrame, radar_obs: DataFrame | None, optical: Change, radar: Change | None, patch_pixels: DataFrame, periods: Periods, config: DetectionConfig | None = None, buffer_days: int = 60, drop_fraction: float = 0.5, min_clear_fraction: float = 0.6) -> DataFrame:
+def estimate(optical_obs: DataFrame, radar_obs: DataFrame | None, optical: Change, radar: Change | None, patch_pixels: DataFrame, periods: Periods, config: DetectionConfig | None = None, buffer_days: int = 60, drop_fraction: float = 0.5, min_clear_fraction: float = 0.6, dense: bool = False) -> DataFrame:
     """``patch_id, s2_detection_date, s1_detection_date, first_detection_date`` for every patch.
 
     The composites of the detectors are used again instead of made anew.
@@ -45,7 +45,7 @@ def estimate(optical_obs: DataFrame, radar_obs: DataFrame | None, optical: Chang
     config = config or DetectionConfig()
     start, end = periods.pre_end - timedelta(days=buffer_days), periods.post_start + timedelta(days=buffer_days)
     patches = patch_pixels.select("patch_id").distinct()
-    masked = scl_valid(in_window(optical_obs, start, end), radius=config.dilation_pixels).withColumn("nbr", F.when(F.col("valid"), nbr()))
+    masked = scl_valid(in_window(optical_obs, start, end), radius=config.dilation_pixels, dense=dense).withColumn("nbr", F.when(F.col("valid"), nbr()))
     s2 = first_crossing(patch_dates(masked, patch_pixels, "nbr"), _levels(optical.pixels, patch_pixels, "pre_nbr", "post_nbr"), drop_fraction, min_clear_fraction)
     out = patches.join(s2.withColumnRenamed("detected", "s2_detection_date"), "patch_id", "left")
     if radar_obs is not None and radar is not None:

@@ -59,7 +59,7 @@ def anomaly_series(scene: Scene, clearing: ClearingMap, tiers: tuple[str, ...],
     if reference is not None:
         reference = reference.select(*PIXEL).distinct().withColumn("_ref", F.lit(True))
     within = F.col("acq_date").between(F.lit(periods.series_start), F.lit(periods.series_end))
-    optical = scl_valid(scene.optical.where(within), radius=config.detection.dilation_pixels)
+    optical = scl_valid(scene.optical.where(within), radius=config.detection.dilation_pixels, dense=scene.dense)
     sources = [optical.select(*PIXEL, "acq_date", "scene_id", *(index(n, F.col("valid")).alias(n) for n in ("ndvi", "nbr")))]
     if scene.radar is not None:
         sources.append(scene.radar.where(within).select(*PIXEL, "acq_date", "scene_id", F.col("vh_db").alias("vh")))
@@ -87,18 +87,18 @@ def run(scene: Scene, config: PipelineConfig, tiers: tuple[str, ...] = ("confirm
         return made
 
     p, c = config.periods, config.detection
-    optical = step("detect_optical", lambda: settled(detect_optical(scene.optical, p, c), "optical"))
+    optical = step("detect_optical", lambda: settled(detect_optical(scene.optical, p, c, dense=scene.dense), "optical"))
     if scene.radar is not None:
         evidence = step("detect_radar", lambda: settled(detect_radar(scene.radar, p, c), "radar"))
     else:
-        evidence = step("detect_persistence", lambda: settled(detect_persistence(scene.optical, optical, p, c), "persistence"))
+        evidence = step("detect_persistence", lambda: settled(detect_persistence(scene.optical, optical, p, c, dense=scene.dense), "persistence"))
 
     def fused() -> ClearingMap:
         made = fuse(optical, evidence, scene.grid, c)
         return ClearingMap(settle(made.patch_pixels, "patch-pixels"), settle(made.patches, "patches"), scene.grid)
 
     clearing = step("fuse", fused)
-    dates = step("estimate_event_dates", lambda: settle(timing.estimate(scene.optical, scene.radar, optical, evidence if scene.radar is not None else None, clearing.patch_pixels, p, c), "dates"))
+    dates = step("estimate_event_dates", lambda: settle(timing.estimate(scene.optical, scene.radar, optical, evidence if scene.radar is not None else None, clearing.patch_pixels, p, c, dense=scene.dense), "dates"))
     events = clearing.patches.select("patch_id").join(dates.select("patch_id", "first_detection_date"), "patch_id", "left").select("patch_id", F.coalesce("first_detection_date", F.lit(p.default_event)).alias("event_date"))
     undisturbed = optical.pixels.where("woody_before AND persistently_woody").join(clearing.patch_pixels, list(PIXEL), "left_anti")
 
@@ -109,7 +109,7 @@ def run(scene: Scene, config: PipelineConfig, tiers: tuple[str, ...] = ("confirm
     fits, records = step("analyse_regrowth", regrown)
     result = Result(optical, evidence, clearing, dates, fits, records, seconds=seconds)
     if validate and scene.truth_pixels is not None and scene.truth_patches is not None:
-        result.accuracy = step("validate", lambda: {k: settle(v, k) for k, v in validation(result, scene, timing.estimate(scene.optical, scene.radar, optical, evidence if scene.radar is not None else None, scene.truth_pixels.join(scene.truth_patches.where("kind = 'clearing'").select("patch_id"), "patch_id", "left_semi"), p, c)).items()})
+        result.accuracy = step("validate", lambda: {k: settle(v, k) for k, v in validation(result, scene, timing.estimate(scene.optical, scene.radar, optical, evidence if scene.radar is not None else None, scene.truth_pixels.join(scene.truth_patches.where("kind = 'clearing'").select("patch_id"), "patch_id", "left_semi"), p, c, dense=scene.dense)).items()})
     return result
 
 
@@ -140,7 +140,7 @@ def scan_epochs(scene: Scene, config: PipelineConfig, first_year: int, last_year
     The masked observations are written once and all epochs read them.
     """
     c = config.detection
-    masked = settle(scl_valid(screen_scenes(scene.optical, c.max_cloud_cover), radius=c.dilation_pixels), "masked")
+    masked = settle(scl_valid(screen_scenes(scene.optical, c.max_cloud_cover), radius=c.dilation_pixels, dense=scene.dense), "masked")
     spark, out = scene.optical.sparkSession, []
     schema = "epoch string, woody_fraction double, dnbr_threshold double, confirmed_patches bigint, confirmed_ha double, review_ha double, largest_patch_ha double, median_patch_ha double, error string"
     for year in range(first_year, last_year):
@@ -164,5 +164,5 @@ def scan_epochs(scene: Scene, config: PipelineConfig, first_year: int, last_year
 
 def survey(scene: Scene, config: PipelineConfig, first_year: int, last_year: int) -> dict[str, DataFrame]:
     """Years, pairs of years and advice for an area."""
-    stats = settle(with_empty_years(year_statistics(scl_valid(scene.optical, radius=config.detection.dilation_pixels), config.detection), first_year, last_year), "years")
+    stats = settle(with_empty_years(year_statistics(scl_valid(scene.optical, radius=config.detection.dilation_pixels, dense=scene.dense), config.detection), first_year, last_year), "years")
     return {"years": stats, "pairs": compare_years(stats), "advice": advice(stats)}

@@ -27,7 +27,7 @@ def save_scene(scene: Scene, path: str, mode: str = "errorifexists") -> None:
     if scene.truth_pixels is not None and scene.truth_patches is not None:
         scene.truth_pixels.write.mode(mode).parquet(f"{path}/truth_pixels")
         scene.truth_patches.write.mode(mode).parquet(f"{path}/truth_patches")
-    meta = {"grid": asdict(scene.grid), "radar": scene.radar is not None, "truth": scene.truth_pixels is not None}
+    meta = {"grid": asdict(scene.grid), "radar": scene.radar is not None, "truth": scene.truth_pixels is not None, "dense": scene.dense}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 
 
@@ -36,7 +36,7 @@ def load_scene(spark: SparkSession, path: str) -> Scene:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     part = lambda name, schema: spark.read.parquet(f"{path}/{name}").select(*(f.name for f in schema))
     truth = [spark.read.parquet(f"{path}/{n}") for n in ("truth_pixels", "truth_patches")] if meta["truth"] else [None, None]
-    return Scene(Grid(**meta["grid"]), part("optical", OPTICAL), part("radar", RADAR) if meta["radar"] else None, *truth)
+    return Scene(Grid(**meta["grid"]), part("optical", OPTICAL), part("radar", RADAR) if meta["radar"] else None, *truth, dense=meta.get("dense", False))
 
 
 def read_rasters(files: DataFrame, decode, schema: str) -> DataFrame:

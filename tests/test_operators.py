@@ -99,6 +99,10 @@ def test_clean_mask(spark):
     m = (square(5, 5, 20) - square(12, 12, 2)) | {(15, x) for x in range(25, 35)}
     got = cells(spatial.clean(mask_df(spark, m), grid))
     assert square(12, 12, 2) <= got and not any(x > 25 for _, x in got)
+    both = m | square(30, 30, 8) | square(0, 0, 4)
+    once = {(r["row"], r["col"], r["patch_id"]) for r in spatial.clean_components(mask_df(spark, both), grid).collect()}
+    twice = {(r["row"], r["col"], r["patch_id"]) for r in spatial.components(spatial.clean(mask_df(spark, both), grid)).collect()}
+    assert once == twice and {p for *_, p in once} == {1, 2}
 
 
 def test_fill_holes_only_inside(spark):

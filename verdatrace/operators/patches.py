@@ -11,7 +11,7 @@ from verdatrace.functions.indices import centre_x, centre_y
 from verdatrace.model import DetectionConfig, Grid
 from verdatrace.operators.detect import Change
 from verdatrace.operators.reducers import PIXEL
-from verdatrace.operators.spatial import clean, components
+from verdatrace.operators.spatial import clean_components
 
 # Names of the tiers by code; a higher code is a stronger claim.
 TIERS = {0: "none", 1: "s1_only", 2: "s2_only", 3: "confirmed"}
@@ -64,7 +64,7 @@ def fuse(optical: Change, evidence: Change, grid: Grid, config: DetectionConfig
     """Clean the union, label it, and give each patch its tier and attributes."""
     config = config or DetectionConfig()
     if patch_pixels is None:
-        patch_pixels = components(clean(union_mask(optical, evidence), grid, config.opening_iterations, config.fill_holes, config.min_mapping_unit_ha))
+        patch_pixels = clean_components(union_mask(optical, evidence), grid, config.opening_iterations, config.fill_holes, config.min_mapping_unit_ha)
     stats = dict(_RADAR_STATS) if evidence.source == "radar" else dict(_PERSISTENCE_STATS) if evidence.source == "persistence" else {}
     left = optical.pixels.select(*PIXEL, F.col("mask").alias("_s2"), *dict.fromkeys(_OPTICAL_STATS.values()))
     right = evidence.pixels.select(*PIXEL, F.col("mask").alias("_s1"), *(F.col(c).alias(f"_e_{c}") for c in dict.fromkeys(stats.values())))

@@ -131,16 +131,18 @@ def label_runs(of_runs: DataFrame, local_runs: int = LOCAL_RUNS) -> DataFrame:
     return held.groupBy().applyInPandas(_union_find, "row int, first int, last int, root_row int, root_col int")
 
 
-def components(mask: DataFrame, local_runs: int = LOCAL_RUNS) -> DataFrame:
-    """Pixels with ``patch_id``: four-connected components, from 1 in scan order of their first pixels.
-
-    Numbering sorts one row a component.
-    """
-    labelled = label_runs(runs(mask), local_runs)
-    numbers = labelled.select("root_row", "root_col").distinct().withColumn("patch_id", F.row_number().over(W.orderBy("root_row", "root_col")))
+def _numbered(labelled: DataFrame, min_pixels: int = 1) -> DataFrame:
+    """Pixels of labelled runs with ``patch_id``, from 1 in scan order; smaller components are left out. Numbering sorts one row a component."""
+    sized = labelled.groupBy("root_row", "root_col").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n")).where(F.col("n") >= min_pixels)
+    numbers = sized.select("root_row", "root_col", F.row_number().over(W.orderBy("root_row", "root_col")).alias("patch_id"))
     return labelled.join(numbers, ["root_row", "root_col"]).select("row", F.explode(F.sequence("first", "last")).alias("col"), "patch_id")
 
 
+def components(mask: DataFrame, local_runs: int = LOCAL_RUNS) -> DataFrame:
+    """Pixels with ``patch_id``: four-connected components, from 1 in scan order of their first pixels."""
+    return _numbered(label_runs(runs(mask), local_runs))
+
+
 def fill_holes(mask: DataFrame, grid: Grid, local_runs: int = LOCAL_RUNS) -> DataFrame:
     """The mask and all regions of its complement that do not reach the raster's border by four-connection."""
     labelled = label_runs(gaps(runs(mask), grid.height, grid.width), local_runs)
@@ -159,12 +161,19 @@ def sieve(mask: DataFrame, min_pixels: int, local_runs: int = LOCAL_RUNS) -> Dat
     return labelled.join(large, ["root_row", "root_col"], "left_semi").select("row", F.explode(F.sequence("first", "last")).alias("col"))
 
 
+def _opened(mask: DataFrame, grid: Grid, iterations: int, fill: bool) -> DataFrame:
+    out = opening(mask, iterations) if iterations > 0 else mask.select("row", "col").distinct()
+    return fill_holes(settle(out, "opened"), grid) if fill else out
+
+
 def clean(mask: DataFrame, grid: Grid, iterations: int = 1, fill: bool = True, min_area_ha: float = 0.5) -> DataFrame:
     """Opening, holes filled, small components dropped."""
-    out = opening(mask, iterations) if iterations > 0 else mask.select("row", "col").distinct()
-    if fill:
-        out = fill_holes(out, grid)
-    return sieve(out, grid.pixels_for_ha(min_area_ha))
+    return sieve(_opened(mask, grid, iterations, fill), grid.pixels_for_ha(min_area_ha))
+
+
+def clean_components(mask: DataFrame, grid: Grid, iterations: int = 1, fill: bool = True, min_area_ha: float = 0.5, local_runs: int = LOCAL_RUNS) -> DataFrame:
+    """The components of a cleaned mask, labelled once: the sieve drops whole components, so their labels serve for both."""
+    return _numbered(label_runs(runs(_opened(mask, grid, iterations, fill)), local_runs), grid.pixels_for_ha(min_area_ha))
 
 
 def block_mean_power(pixels: DataFrame, values: list[str], factor: int) -> DataFrame:

@@ -467,7 +467,8 @@ def i01_mask_union(spark, sf_dir):
 @query()
 def i02_fuse(spark, sf_dir):
     s, o = _detected(spark, sf_dir)
-    return patches.fuse(o, detect_radar(s.radar, fixture.PERIODS, fixture.CONFIG), s.grid, fixture.CONFIG).patches
+    o, x = pipeline.settled(o, "optical"), pipeline.settled(detect_radar(s.radar, fixture.PERIODS, fixture.CONFIG), "radar")
+    return patches.fuse(o, x, s.grid, fixture.CONFIG).patches
 
 
 @query(f""", {_OPTICAL_SQL}, {_RADAR_SQL}, {_PX}, g AS (SELECT truth_id, count(*) AS n, avg(coalesce(opt.mask, false)::INT) AS fa, avg(coalesce(rad.mask, false)::INT) AS fb, avg((coalesce(opt.mask, false) AND coalesce(rad.mask, false))::INT) AS fc FROM tpx LEFT JOIN opt ON tpx.r = opt.r AND tpx.c = opt.c LEFT JOIN rad ON tpx.r = rad.r AND tpx.c = rad.c GROUP BY truth_id),

@@ -18,6 +18,7 @@ from verdatrace.operators.masks import all_gates, rejections, scl_valid, screen_
 from verdatrace.operators.reducers import PIXEL, median, medoid_columns, percentile
 from verdatrace.operators.robust import change_thresholds, offsets, with_numbers, woody_thresholds
 from verdatrace.operators.spatial import boxcar
+from verdatrace.storage import settle
 
 OPTICAL_GATES = ("observations_pre", "observations_post", "woody_before", "persistently_woody", "not_water", "steady_through_the_year", "nbr_drop", "ndvi_drop")
 RADAR_GATES = ("observations_pre", "observations_post", "structure_before", "vh_drop")
@@ -63,7 +64,7 @@ def detect_optical(obs: DataFrame, periods: Periods, config: DetectionConfig | N
     """Loss of canopy between two windows: enough views, woody, persistently so, no water, steady, and both drops.
 
     All statistics of a pixel, of both windows, come from one grouping of its
-    observations.  ``masked`` may hand in observations with ``valid`` already
+    observations, whose result is written to the shared folder.  ``masked`` may hand in observations with ``valid`` already
     made, for callers that run several detections.
     """
     config = config or DetectionConfig()
@@ -96,6 +97,8 @@ def detect_optical(obs: DataFrame, periods: Periods, config: DetectionConfig | N
         F.coalesce(ndwi("pre_green", "pre_nir") < 0, F.lit(False)).alias("not_water"),
         (F.coalesce(F.col("pre_amplitude") <= config.max_pre_seasonal_amplitude, F.lit(False)) if wants_swing else F.lit(True)).alias("steady_through_the_year"),
     )
+    # Offsets and limits each look at all pixels again; one row a pixel is written so that observations are reduced once.
+    px = settle(px, "pixels")
     stable = F.col("observations_pre") & F.col("observations_post") & F.col("not_water")
     woody = woody_thresholds(px, config, stable & F.col("steady_through_the_year"), "pre_ndvi_typical", "pre_nbr_typical", "pre_ndvi_persistent")
     moved = offsets(px, {"dnbr": (F.col("pre_nbr") - F.col("post_nbr"), stable, config.dnbr_threshold), "dndvi": (F.col("pre_ndvi") - F.col("post_ndvi"), stable, config.dndvi_threshold)})
@@ -142,7 +145,7 @@ def detect_radar(obs: DataFrame, periods: Periods, config: DetectionConfig | Non
         for s in states:
             aggs.append(median(F.col("vh_db"), when & both & (F.lower("orbit_state") == s)).alias(f"{name}_vh_{s}"))
             smooth.append(f"{name}_vh_{s}")
-    px = boxcar(obs.groupBy(*PIXEL).agg(*aggs), smooth, config.speckle_window)
+    px = settle(boxcar(obs.groupBy(*PIXEL).agg(*aggs), smooth, config.speckle_window), "pixels")
     had = F.coalesce(F.col("pre_vh_db") >= config.min_pre_vh_db, F.lit(False))
     if stable is not None:
         px = px.join(stable.select(*PIXEL).distinct().withColumn("_stable", F.lit(True)), list(PIXEL), "left")
@@ -192,6 +195,7 @@ def detect_persistence(obs: DataFrame, optical: Change, periods: Periods, config
     level = optical.thresholds.select((F.col("dnbr_threshold") * tolerance).alias("_level"), F.col("dnbr_threshold").alias("_limit"))
     seen = tagged.groupBy(*PIXEL, "season").agg(*first).select(*PIXEL, "season", *then).where("n_obs >= 1")
     seen = with_numbers(seen.join(optical.pixels.select(*PIXEL, "pre_nbr"), list(PIXEL)), level).select(*PIXEL, "season", (F.col("pre_nbr") - nbr()).alias("drop"), "_level", "_limit")
+    seen = settle(seen, "seasons")
     # One offset a season, refined once, as for a pair of windows.
     start = seen.groupBy("season").agg(median(F.col("drop")).alias("_m"), F.count("drop").alias("_n"))
     both = seen.join(F.broadcast(start), "season")

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdatrace.functions.indices import index, nbr, ndvi, ndwi, rvi_db
-from verdatrace.model import DetectionConfig, Periods
+from verdatrace.model import BANDS, DetectionConfig, Periods
 from verdatrace.operators.masks import all_gates, rejections, scl_valid, screen_scenes
-from verdatrace.operators.reducers import PIXEL, median, medoid_columns, percentile
+from verdatrace.operators.reducers import PIXEL, array_percentile, gather, median, with_medoid
 from verdatrace.operators.robust import change_thresholds, offsets, with_numbers, woody_thresholds
 from verdatrace.operators.spatial import boxcar
 from verdatrace.storage import settle
@@ -75,19 +75,16 @@ def detect_optical(obs: DataFrame, periods: Periods, config: DetectionConfig | N
     wants_swing = config.max_pre_seasonal_amplitude is not None
     if masked is None:
         masked = scl_valid(screen_scenes(obs.where(pre | post | swing if wants_swing else pre | post), config.max_cloud_cover), radius=config.dilation_pixels, dense=dense)
-    pre_first, pre_then = medoid_columns("pre_", pre)
-    post_first, post_then = medoid_columns("post_", post)
-    v, n = index("ndvi", F.col("valid")), index("nbr", F.col("valid"))
-    gathered = masked.groupBy(*PIXEL).agg(
-        *pre_first, *post_first,
-        percentile(v, config.pre_percentile, pre).alias("pre_ndvi_persistent"),
-        median(v, pre).alias("pre_ndvi_typical"),
-        median(n, pre).alias("pre_nbr_typical"),
-        *((F.percentile(F.when(swing, v), F.array(F.lit(0.1), F.lit(0.9))).alias("_swing"),) if wants_swing else ()),
-    )
+    with_index = masked.withColumns({"_ndvi": index("ndvi"), "_nbr": index("nbr")})
+    px = gather(with_index, PIXEL, ["acq_date", "obs_id", *BANDS, "_ndvi", "_nbr"], {"pre_": pre, "post_": post} | ({"swing_": swing} if wants_swing else {}))
+    px = with_medoid(with_medoid(px, "pre_"), "post_")
+    ordered = lambda of, name: F.array_sort(F.array_compact(F.transform(of, lambda o: o[name])))
+    px = px.withColumns({"_v": ordered("pre_all", "_ndvi"), "_n": ordered("pre_all", "_nbr")} | ({"_s": ordered("swing_all", "_ndvi")} if wants_swing else {}))
     typical = ["pre_ndvi_persistent", "pre_ndvi_typical", "pre_nbr_typical"]
-    amplitude = (F.col("_swing")[1] - F.col("_swing")[0]).alias("pre_amplitude") if wants_swing else F.lit(None).cast("double").alias("pre_amplitude")
-    px = gathered.select(*PIXEL, *pre_then, *post_then, *typical, amplitude)
+    px = px.withColumns({
+        "pre_ndvi_persistent": array_percentile(F.col("_v"), config.pre_percentile / 100), "pre_ndvi_typical": array_percentile(F.col("_v"), 0.5), "pre_nbr_typical": array_percentile(F.col("_n"), 0.5),
+        "pre_amplitude": array_percentile(F.col("_s"), 0.9) - array_percentile(F.col("_s"), 0.1) if wants_swing else F.lit(None).cast("double"),
+    })
     px = px.select(
         *PIXEL, "pre_n_obs", "post_n_obs", *typical, "pre_amplitude",
         ndvi("pre_red", "pre_nir").alias("pre_ndvi"), nbr("pre_nir", "pre_swir2").alias("pre_nbr"),
@@ -191,9 +188,8 @@ def detect_persistence(obs: DataFrame, optical: Change, periods: Periods, config
         last = max((b for _, b in windows), default=periods.post_start)
         masked = scl_valid(screen_scenes(obs.where(_between(periods.post_start, last)), config.max_cloud_cover), radius=config.dilation_pixels, dense=dense)
     tagged = masked.join(F.broadcast(dim), F.col("acq_date").between(F.col("w_start"), F.col("w_end")))
-    first, then = medoid_columns()
     level = optical.thresholds.select((F.col("dnbr_threshold") * tolerance).alias("_level"), F.col("dnbr_threshold").alias("_limit"))
-    seen = tagged.groupBy(*PIXEL, "season").agg(*first).select(*PIXEL, "season", *then).where("n_obs >= 1")
+    seen = with_medoid(gather(tagged, (*PIXEL, "season"), ["acq_date", "obs_id", *BANDS], {"": F.lit(True)})).where("n_obs >= 1")
     seen = with_numbers(seen.join(optical.pixels.select(*PIXEL, "pre_nbr"), list(PIXEL)), level).select(*PIXEL, "season", (F.col("pre_nbr") - nbr()).alias("drop"), "_level", "_limit")
     seen = settle(seen, "seasons")
     # One offset a season, refined once, as for a pair of windows.

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdatrace.model import RegrowthConfig
-from verdatrace.operators.reducers import median
+from verdatrace.operators.reducers import array_median, median
 from verdatrace.storage import settle
 
 DAYS_PER_YEAR = 365.25
@@ -80,12 +80,6 @@ def years_since(seasons: DataFrame, events: DataFrame) -> DataFrame:
     return joined.withColumn("years", F.datediff("season_date", "event_date") / DAYS_PER_YEAR)
 
 
-def array_median(a: Column) -> Column:
-    """Median of the numbers of an array, missing if it is empty."""
-    s, n = F.array_sort(a), F.size(a)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
-
-
 def trajectories(seasons: DataFrame, events: DataFrame, keys=KEYS) -> DataFrame:
     """One row a series: ``baseline`` (median before the event) and ``post``, the sorted (years, v, d) since."""
     joined = seasons.join(events, "patch_id")

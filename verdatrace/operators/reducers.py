@@ -41,33 +41,56 @@ def observation_count(obs: DataFrame, keys=PIXEL) -> DataFrame:
     return obs.groupBy(*keys).agg(F.count_if("valid").alias("n_obs"))
 
 
-def medoid_columns(prefix: str = "", where: Column | None = None, bands: tuple[str, ...] = BANDS, tie: tuple[str, ...] = ("acq_date", "obs_id")) -> tuple[list[Column], list[Column]]:
-    """Aggregates of a group of observations, and the columns made of them.
-
-    The columns are ``n_obs`` and the bands of the valid observation nearest to
-    the medians of all bands.  A candidate has all bands; ties go to the
-    earliest, then to the least values of the bands, so the choice never depends
-    on the order of rows.  Observations are gathered once: medians and choice
-    need the same group, and a join back would shuffle everything again.
+def array_median(values: Column) -> Column:
+    """Median of the present numbers of an array, missing if there are none."""
+    return array_percentile(F.array_sort(F.array_compact(values)), 0.5)
+
+
+def array_percentile(ascending: Column, q: float) -> Column:
+    """Interpolated percentile of an ascending array without gaps, ``q`` from 0 to 1."""
+    at = (F.size(ascending) - 1) * F.lit(float(q))
+    low = F.floor(at).cast("int")
+    a, b = F.get(ascending, low), F.get(ascending, F.ceil(at).cast("int"))
+    return F.when(F.size(ascending) > 0, a + (b - a) * (at - low))
+
+
+def gather(obs: DataFrame, keys: tuple[str, ...], fields: list[str | Column], groups: dict[str, Column]) -> DataFrame:
+    """One row a key with an array of its valid observations for each group: ``<group>all``.
+
+    Observations are dealt by key as plain rows first: the arrays are then built
+    where they stay, instead of being built in parts and sent.
     """
-    valid = F.col("valid") if where is None else F.col("valid") & where
-    whole = valid
-    for b in bands:
-        whole = whole & F.col(b).isNotNull()
-    first = [F.count_if(valid).alias(f"{prefix}n_obs"), *(median(F.col(b), valid).alias(f"_{prefix}m_{b}") for b in bands), F.collect_list(F.when(whole, F.struct(*tie, *bands))).alias(f"_{prefix}all")]
+    kept = [F.collect_list(F.when(F.col("valid") & F.coalesce(when, F.lit(False)), F.struct(*fields))).alias(f"{name}all") for name, when in groups.items()]
+    return obs.repartition(*keys).groupBy(*keys).agg(*kept)
+
+
+def with_medoid(df: DataFrame, prefix: str = "", bands: tuple[str, ...] = BANDS, tie: tuple[str, ...] = ("acq_date", "obs_id")) -> DataFrame:
+    """``<prefix>n_obs`` and the bands of the medoid of ``<prefix>all``.
+
+    The medoid is the observation nearest to the medians of all bands.  A
+    candidate has all bands; ties go to the earliest, then to the least values
+    of the bands, so the choice never depends on the order of rows.
+    """
+    every = F.col(f"{prefix}all")
+    centre = F.array(*(array_median(_field(every, b)) for b in bands))
 
     def distance(o: Column) -> Column:
-        parts = [(o[b] - F.col(f"_{prefix}m_{b}")) * (o[b] - F.col(f"_{prefix}m_{b}")) for b in bands]
+        parts = [(o[b] - F.col(f"_{prefix}centre")[k]) * (o[b] - F.col(f"_{prefix}centre")[k]) for k, b in enumerate(bands)]
         return F.round(reduce(lambda x, y: x + y, parts), 11)
 
-    best = F.array_min(F.transform(f"_{prefix}all", lambda o: F.struct(distance(o).alias("_d"), *(o[t].alias(t) for t in tie), *(o[b].alias(b) for b in bands))))
-    return first, [F.col(f"{prefix}n_obs"), *(best[b].alias(f"{prefix}{b}") for b in bands)]
+    whole = F.filter(every, lambda o: reduce(lambda x, y: x & y, (o[b].isNotNull() for b in bands)))
+    best = F.array_min(F.transform(whole, lambda o: F.struct(distance(o).alias("_d"), *(o[t].alias(t) for t in tie), *(o[b].alias(b) for b in bands))))
+    made = df.withColumns({f"_{prefix}centre": centre}).withColumns({f"{prefix}n_obs": F.size(every).cast("bigint"), f"_{prefix}best": best})
+    return made.withColumns({f"{prefix}{b}": F.col(f"_{prefix}best")[b] for b in bands}).drop(f"_{prefix}centre", f"_{prefix}best")
+
+
+def _field(items: Column, name: str) -> Column:
+    return F.transform(items, lambda o: o[name])
 
 
 def medoid(obs: DataFrame, bands: tuple[str, ...] = BANDS, keys=PIXEL, tie: tuple[str, ...] = ("acq_date", "obs_id")) -> DataFrame:
-    """One row a pixel: ``n_obs`` and the bands of its medoid (:func:`medoid_columns`)."""
-    first, then = medoid_columns("", None, bands, tie)
-    return obs.groupBy(*keys).agg(*first).select(*keys, *then)
+    """One row a pixel: ``n_obs`` and the bands of its medoid."""
+    return with_medoid(gather(obs, tuple(keys), [*tie, *bands], {"": F.lit(True)}), "", bands, tie).select(*keys, "n_obs", *bands)
 
 
 def optical_composite(obs: DataFrame, start: date, end: date, max_cloud: float = 1.0, dilation: int = 3, reducer: str = "medoid") -> DataFrame:

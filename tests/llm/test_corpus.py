@@ -201,7 +201,9 @@ def test_op4_pages(spark):
 # -- 5 ------------------------------------------------------------------------
 
 
-def test_op5_licenses_and_inheritance(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_op5_licenses_and_inheritance(spark, few, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_KEYS", few)
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [(1, "r", "LICENSE", mit), (2, "r", "a/LICENSE.txt", apache + "\nmore words of this file"), (3, "r", "a/b/x.py", "code"), (4, "r", "y.py", None), (5, "r", "a/b/z.py", "intro\n" + mit + "\nThe rest of it is prose without any such thing in it."), (6, "q", "y.py", "code"), (7, None, None, ""), (8, "r", "a/b/w.py", "mit der zeit"), (2, "r", "a/LICENSE.txt", apache)]
     df = spark.createDataFrame(rows, "k bigint, repo string, path string, text string").withColumn("row", F.lit("clash")).withColumn("dir", F.lit("clash"))

@@ -30,12 +30,14 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import settle
+from verdatrace.llm.common import BROADCAST_KEYS, settle
 
 #: Cosine from which on a text is taken for a template's.
 THRESHOLD = 0.75
 #: Different words that a text and a template must share.
 SHARED = 2
+#: Parts that the files of one directory are dealt over where directories are too many to broadcast.
+PARTS = 32
 #: Name of a license file; its directory takes its license whatever else it says.
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$"
 
@@ -135,4 +137,12 @@ def scan(files: DataFrame, key: Column, repo: Column, path: Column, text: Column
     parts = F.split("dir", "/")
     asking = own.select("dir").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))).alias("a")).select("dir", "a.depth", "a.above")
     nearest = asking.join(speaks, "above").groupBy("dir").agg(F.max_by("of_dir", "depth").alias("inherited_license"))
-    return own.join(nearest, "dir", "left").select("key", "path", "own_license", "own_score", "is_license_file", "inherited_license", F.coalesce("own_license", "inherited_license").alias("license"))
+    # One directory may hold a third of all files, so files are not dealt by directory alone: few directories, by their
+    # count, are broadcast; many are repeated for each of the parts that a directory's files are dealt over.
+    nearest, _ = settle(nearest, "directories")
+    if nearest.count() <= BROADCAST_KEYS:
+        joined = own.join(F.broadcast(nearest), "dir", "left")
+    else:
+        parted = nearest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = own.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")).join(parted, ["dir", "part"], "left")
+    return joined.select("key", "path", "own_license", "own_score", "is_license_file", "inherited_license", F.coalesce("own_license", "inherited_license").alias("license"))

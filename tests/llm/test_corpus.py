@@ -506,6 +506,18 @@ def test_op10_permutations_and_formats():
         assert pii.pseudonymise(f"a {v} b", walk.forward) == (f"a {v} b", [])
 
 
+def test_op10_cards_and_ibans_before_other_groups():
+    walk = pii.Permutation(b"k")
+    card = lambda v: pii.pseudonymise(v, walk.forward)[0]
+    for v, rest in [("4111 1111 1111 1111", " 12/27"), ("4111111111111111", " 12/2027"), ("4111-1111-1111-1111", " 123"), ("4111 1111 1111 1111", " 12 27 123"), ("3782 822463 10005", " 12/27"), ("4111 1111 1111 1111", "-123"), ("BE68 5390 0754 7034", " BIC"), ("BE68539007547034", " EURO 12")]:
+        made, spans = pii.pseudonymise(f"pay {v}{rest} now", walk.forward)
+        assert made == f"pay {card(v)}{rest} now" and v not in made and [(a, b) for _, a, b in spans] == [(4, 4 + len(v))]
+        assert pii.pseudonymise(made, walk.backward)[0] == f"pay {v}{rest} now"
+    # Some numbers before a card pass the Luhn test with its first groups; the longer card that starts within is meant.
+    leads = [n for n in range(10, 100) if pii._card(f"{n} 4111 1111 1111", walk.forward) and not pii._card(f"{n} 4111 1111 1111 1111", walk.forward)]
+    assert leads and all(pii.pseudonymise(f"no {n} 4111 1111 1111 1111", walk.forward)[0] == f"no {n} {card('4111 1111 1111 1111')}" for n in leads)
+
+
 def test_op10_links_documents_and_keeps_the_rest(spark, docs, none, table):
     two = spark.createDataFrame([(1, "mail a.b@x.example.org!"), (2, "a.b@x.example.org and 10.2.3.4"), (3, None), (4, "")], "doc_id bigint, text string").withColumn("spans", F.lit("clash"))
     got = {r["doc_id"]: r["text"] for r in pii.redact(two).collect()}

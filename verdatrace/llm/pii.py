@@ -14,7 +14,9 @@ Formats: e-mail addresses (the local part), payment card numbers (Luhn), IBANs
 and day/month/year dates.
 
 Nulls, empties and the rest: null and empty texts stay as they are; values that
-fail validation stay; where candidates overlap, the leftmost and there the first
+fail validation stay; a card or IBAN may be followed by further groups (an
+expiry date, a CVV, a BIC), so where the longest run fails, shorter ones from
+the same start are tried to the end of each group; where candidates overlap, the leftmost and there the first
 listed is taken; repeated rows are treated alike; extra columns pass through (one named like
 ``spans`` is replaced); an empty table gives an empty table.
 """
@@ -129,7 +131,7 @@ def _email(text: str, walk: Walk) -> str | None:
 
 def _card(text: str, walk: Walk) -> str | None:
     digits = re.sub(r"\D", "", text)
-    if luhn_digit(digits[:-1]) != digits[-1] or not int(digits):
+    if len(digits) < 13 or luhn_digit(digits[:-1]) != digits[-1] or not int(digits):
         return None
     body = f"{walk(f'card:{len(digits)}', 10 ** (len(digits) - 1), int(digits[:-1])):0{len(digits) - 1}d}"
     return _refill(text, body + luhn_digit(body))
@@ -231,30 +233,49 @@ KINDS: dict[str, tuple[str, Callable[[str, Walk], str | None]]] = {
     "phone": (r"(?<![A-Za-z0-9+(-])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9+-])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![A-Za-z0-9+.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])", _phone),
     "dmy_date": (r"(?<![0-9./])[0-9]{1,2}(?P<sep>[./])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9])", _dmy),
 }
+#: Kinds with a checksum whose groups may be followed by others that are not theirs: an expiry date, a CVV, a BIC.
+GROUPED = ("iban", "card")
 _MAYBE = re.compile(r"[0-9@]").search
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
 
 
+def _longest(kind: str, text: str, start: int, end: int, walk: Walk) -> tuple[int, str] | None:
+    """End and pseudonym of the longest valid value from ``start``: to ``end`` or, if grouped, to the end of a group before."""
+    cuts = [start + x.start() for x in re.finditer("[ -]", text[start:end])] if kind in GROUPED else []
+    return next(((cut, made) for cut in (end, *reversed(cuts)) if (made := KINDS[kind][1](text[start:cut], walk)) is not None), None)
+
+
+def _value(kind: str, text: str, start: int, end: int, walk: Walk) -> tuple[int, str] | None:
+    """As :func:`_longest`, but a shorter run gives way to a longer one that starts at a later group within it."""
+    got = _longest(kind, text, start, end, walk)
+    if got is None or got[0] == end:
+        return got
+    later = (re.compile(KINDS[kind][0]).match(text, start + x.end()) for x in re.finditer("[ -]", text[start : got[0]]))
+    others = ((m.start(), _longest(kind, text, m.start(), m.end(), walk)) for m in later if m)
+    return None if any(x and x[0] - at > got[0] - start for at, x in others) else got
+
+
 def pseudonymise(text: str, walk: Walk) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and the kind and place (in the original, end exclusive) of each."""
     if not _MAYBE(text):
         return text, []
     out, spans, last, at = [], [], 0, 0
     while m := _PATTERN.search(text, at):
-        kind = m.lastgroup if m.lastgroup in KINDS else "dmy_date"
-        made = KINDS[kind][1](m[0], walk)
-        if made is None:
-            at = m.start() + 1
+        kind, start = m.lastgroup if m.lastgroup in KINDS else "dmy_date", m.start()
+        got = _value(kind, text, start, m.end(), walk)
+        if got is None:
+            at = start + 1
             # Another kind may start at the same place.
-            for other, (pattern, fn) in list(KINDS.items())[list(KINDS).index(kind) + 1 :]:
-                if (n := re.compile(pattern).match(text, m.start())) and (made := fn(n[0], walk)) is not None:
-                    kind, m = other, n
+            for other, (pattern, _) in list(KINDS.items())[list(KINDS).index(kind) + 1 :]:
+                if (n := re.compile(pattern).match(text, start)) and (got := _value(other, text, start, n.end(), walk)) is not None:
+                    kind = other
                     break
             else:
                 continue
-        out += [text[last : m.start()], made]
-        spans.append((kind, m.start(), m.end()))
-        last = at = m.end()
+        end, made = got
+        out += [text[last:start], made]
+        spans.append((kind, start, end))
+        last = at = end
     return "".join([*out, text[last:]]), spans
 
 

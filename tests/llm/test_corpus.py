@@ -298,6 +298,20 @@ def test_op6_probabilities_sum_to_one_and_match_brute_force(spark):
         assert model.log2(key)[0] == pytest.approx(np.log2(p(int(g), 5)), abs=1e-6)
 
 
+@pytest.mark.parametrize("bits", [5, 8])
+def test_op6_probabilities_sum_to_one_where_the_cut_bites(spark, bits, monkeypatch):
+    monkeypatch.setattr(rules, "KEEP_BITS", bits)
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice("aab c" if k % 4 else "xyz") for _ in range(60)), "en" if k % 4 else "de") for k in range(80)]
+    model = rules.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), ["de", "en"])
+    for number, lang in ((1, "de"), (2, "en")):
+        code = np.unique(ngrams.windows([t.encode() for _, t, x in rows if x == lang], rules.ORDER)[0])
+        assert len(model.grams[rules.ORDER][1]) < len(code)
+        for g in code[rng.sample(range(len(code)), 12)]:
+            every = (np.uint64(g) & ~np.uint64(255)) | np.arange(256, dtype=np.uint64) | (np.uint64(number) << np.uint64(48))
+            assert np.exp2(model.log2(every)).sum() == pytest.approx(1, abs=1e-6)
+
+
 # -- 7 ------------------------------------------------------------------------
 
 

@@ -11,7 +11,9 @@ but never so near that a clean text with a quotation falls out.
 
 An n-gram (and a context) is kept with at least one ``2 ** KEEP_BITS``-th of all
 counts of its order, so an order has fewer than ``2 ** KEEP_BITS`` of them for
-all languages together, whatever the input; others back off.  Languages with
+all languages together, whatever the input; others back off, and a context gives
+the shorter orders all the mass that its kept n-grams leave, so probabilities
+sum to one wherever the cut falls.  Languages with
 less than 1/256 of the bytes share one model and one pair of limits.
 
 Nulls, empties and the rest: a null text has no words and fails the base rules;
@@ -113,24 +115,23 @@ class KneserNey:
     """Interpolated modified Kneser-Ney probabilities by language, in sorted hash arrays."""
 
     def __init__(self, grams: dict, contexts: dict, discounts: dict):
-        """``grams[m]``: key, count. ``contexts[m]``: key, total, n1, n2, n3. ``discounts``: (lang, m) to D1, D2, D3."""
+        """``grams[m]``: key, count. ``contexts[m]``: key, total. ``discounts``: (lang, m) to D1, D2, D3."""
         self.grams: list = [None] * (ORDER + 1)
         self.contexts: list = [None] * (ORDER + 1)
         for m in range(1, ORDER + 1):
-            key, whole, n1, n2, n3 = contexts[m]
-            d = np.array([discounts.get((int(k), m), (0.5, 0.5, 0.5)) for k in key >> np.uint64(48)]).reshape(-1, 3)
-            # The mass of n-grams that are left out for being seen once goes to the shorter ones.
-            once = 1.0 if m > 1 and MIN_COUNT > 1 else d[:, 0]
-            gamma = np.clip((once * n1 + d[:, 1] * n2 + d[:, 2] * n3) / whole, 1e-6, 1.0)
+            key, whole = contexts[m]
             table = HashArray(key)
-            self.contexts[m] = (table, whole[table.order].astype(float), np.log2(gamma)[table.order])
+            whole = whole[table.order].astype(float)
             key, count = grams[m]
-            at = self.contexts[m][0].find(self.context(key))
+            at = table.find(self.context(key))
             ok = at >= 0
             key, count, at = key[ok], count[ok], at[ok]
             d = np.array([discounts.get((int(k), m), (0.5, 0.5, 0.5)) for k in key >> np.uint64(48)]).reshape(-1, 3)
-            own = np.maximum(count - d[np.arange(len(key)), np.minimum(count, 3).astype(int) - 1], 0) / self.contexts[m][1][at]
-            lower = np.exp2(self.contexts[m][2][at] + self.log2(self.shorter(key, m - 1), m - 1))
+            own = np.maximum(count - d[np.arange(len(key)), np.minimum(count, 3).astype(int) - 1], 0) / whole[at]
+            # All that the kept n-grams leave goes to the shorter ones: the discounts, and the whole counts of those left out.
+            gamma = np.clip(1 - np.bincount(at, own, len(whole)), 1e-6, 1.0)
+            self.contexts[m] = (table, np.log2(gamma))
+            lower = np.exp2(self.contexts[m][1][at] + self.log2(self.shorter(key, m - 1), m - 1))
             table = HashArray(key)
             self.grams[m] = (table, np.log2(own + lower)[table.order])
 
@@ -154,7 +155,7 @@ class KneserNey:
             at = table.find(key[left])
             out[left[at >= 0]] += value[at[at >= 0]]
             left = left[at < 0]
-            table, _, gamma = self.contexts[m]
+            table, gamma = self.contexts[m]
             at = table.find(self.context(key[left]))
             out[left[at >= 0]] += gamma[at[at >= 0]]
             if m > 1:
@@ -177,9 +178,9 @@ def fit(docs: DataFrame, known: list[str], lang: str = "lang", text: str = "text
         high = F.shiftleft(F.col("lang").cast("bigint"), 48)
         kept = table.where((F.col("c") * (1 << KEEP_BITS) >= whole) & (F.col("c") >= (MIN_COUNT if m > 1 else 1))).select(high.bitwiseOR(F.col("gram")).alias("k"), "c").toArrow()
         grams[m] = (np.ascontiguousarray(kept.column(0).to_numpy()).view(np.uint64), kept.column(1).to_numpy())
-        of = table.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("s"), *(F.count_if(c).alias(f"n{k}") for k, c in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") >= 3))))
-        kept = of.where(F.col("s") * (1 << KEEP_BITS) >= whole).select(high.bitwiseOR(F.col("context")).alias("k"), "s", "n1", "n2", "n3").toArrow()
-        contexts[m] = (np.ascontiguousarray(kept.column(0).to_numpy()).view(np.uint64), *(kept.column(i).to_numpy() for i in range(1, 5)))
+        of = table.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("s"))
+        kept = of.where(F.col("s") * (1 << KEEP_BITS) >= whole).select(high.bitwiseOR(F.col("context")).alias("k"), "s").toArrow()
+        contexts[m] = (np.ascontiguousarray(kept.column(0).to_numpy()).view(np.uint64), kept.column(1).to_numpy())
         if m > 1:
             # A shorter n-gram counts the different bytes that it follows.
             table = table.groupBy("lang", F.col("gram").bitwiseAND(F.lit(_mask(m - 1))).alias("gram")).agg(F.count("*").alias("c"))

@@ -574,3 +574,14 @@ def test_op6_bands_reject_noise_and_repetition(spark):
     rows += [(900, noise, "en"), (901, "".join(rng.choice("qxzjkvwy") for _ in range(3)) + " " + prose(rng, 100), "en")]
     got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert not got[900]["base_failed"] and not got[900]["kept"] and got[901]["kept"] and all(got[k]["kept"] for k in range(300) if not got[k]["base_failed"])
+
+
+def test_op6_bands_reject_junk_and_other_languages_within_each_language(spark):
+    rng = random.Random(13)
+    other = lambda n: " ".join("".join(rng.choice("bdfgklmnprstwz") + rng.choice("äöüaeiou") + rng.choice("ckmnrstz") for _ in range(2)) for _ in range(n))
+    rows = [(k, prose(rng, 90), "en") for k in range(300)] + [(400 + k, other(90), "de") for k in range(300)]
+    mangled = " ".join("".join(rng.sample(w, len(w))) if k % 3 == 0 else w for k, w in enumerate(prose(rng, 120).split()))
+    rows += [(900, mangled, "en"), (901, prose(rng, 70) + " " + other(30), "en"), (902, other(70) + " " + prose(rng, 30), "de"), (903, other(90), "en"), (904, prose(rng, 90), "de")]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not any(got[k]["base_failed"] or got[k]["kept"] for k in range(900, 905))
+    assert all(r["kept"] for k, r in got.items() if k < 900 and not r["base_failed"])

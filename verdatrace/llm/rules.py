@@ -6,8 +6,8 @@ totals of an interpolated modified Kneser-Ney model.  The model is kept in
 sorted hash arrays and sent to the executors.  A text is rejected if it fails a
 base rule, or if its perplexity lies outside the lower and upper limits of its
 language.  The limits are robust: the median of the bits per byte of all
-texts that pass the base rules, and so many times the typical spread around it,
-but never so near that a clean text with a quotation falls out.
+texts that pass the base rules, and so many times the language's own typical
+spread around it.
 
 An n-gram (and a context) is kept with at least one ``2 ** KEEP_BITS``-th of all
 counts of its order, so an order has fewer than ``2 ** KEEP_BITS`` of them for
@@ -42,9 +42,8 @@ KEEP_BITS = 22
 MIN_COUNT = 2
 #: Spreads below and above the median of a language at which a text is rejected.
 SPREADS = 8.0
-#: Least distance of the lower and the upper limit from the median, in bits per byte. A clean text that quotes another
-#: language costs up to two bits more than its own language's; noise and endless repetition lie farther out.
-LEAST_LOWER, LEAST_UPPER = 0.9, 2.5
+#: Least spread in bits per byte, for languages whose texts are all alike.
+LEAST_SPREAD = 0.02
 #: Steps of a bit in which bits per byte are counted for the limits.
 STEPS = 1024
 
@@ -223,8 +222,8 @@ def limits(measured: DataFrame) -> dict[int, tuple[float, float]]:
         middle = lambda v, n: v[np.searchsorted(np.cumsum(n), n.sum() / 2)]
         centre = middle(x, n)
         order = np.argsort(abs(x - centre))
-        spread = SPREADS * 1.4826 * middle(abs(x - centre)[order], n[order]) / STEPS
-        out[of] = (float(centre / STEPS - max(spread, LEAST_LOWER)), float((centre + 1) / STEPS + max(spread, LEAST_UPPER)))
+        spread = SPREADS * max(1.4826 * middle(abs(x - centre)[order], n[order]) / STEPS, LEAST_SPREAD)
+        out[of] = (float(centre / STEPS - spread), float((centre + 1) / STEPS + spread))
     return out
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where none is named, as in tests, one is set here."""
+    """The folder named by ``spark.checkpoint.dir``; only a local master may do without one, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="verdatrace-")

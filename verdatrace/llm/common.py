@@ -7,11 +7,13 @@ bytes; a single text longer than the bound forms a chunk of its own.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step looks at.
@@ -26,13 +28,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is one set here.
+    Where the session names none, a folder of this machine is set, but only for a
+    local master: on a cluster executors' files in it would be out of reach.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="verdatrace-")
@@ -97,18 +102,55 @@ def chunks(items: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(items)
 
 
-#: Keys up to which a list of keys is broadcast; they are counted first.
+#: Rows up to which a side is broadcast; it is counted first.
 BROADCAST_KEYS = 500_000
+#: A key is hot with more than a HOT-th of a side's rows, so fewer than HOT keys are.
+HOT = 100_000
+#: Rows up to which one key may hold them all: a single task takes them with ease.
+PLAIN_ROWS = 1_000_000
 
 
-def without_keys(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose key is in the one column of ``dropped``; null keys stay.
+def join_keyed(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``big`` (a stored table) joined to ``small`` by ``key``, of which ``small`` has one row at most each.
 
-    A short list, by its count, is broadcast and the texts stay where they are;
-    a longer one is joined by a shuffle.
+    Keys with more than a ``HOT``-th of the rows of ``big`` are fewer than
+    ``HOT``: their rows meet a broadcast part of ``small`` where they are, and
+    only all others are dealt by key, so no task gathers a hot key's rows.
     """
-    from pyspark.sql import functions as F
+    total = big.count()
+    if total <= PLAIN_ROWS:
+        return big.join(small, key, how)
+    hot, _ = settle(big.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count().where(F.col("count") * HOT > total).select("__hot"), "hot")
+    listed = F.broadcast(hot)
+    of_hot = F.broadcast(small.join(listed, small[key] == listed["__hot"], "left_semi"))
+    stay = big.join(listed, big[key] == listed["__hot"], "left_semi").join(of_hot, key, how)
+    return stay.unionByName(big.join(listed, big[key] == listed["__hot"], "left_anti").join(small, key, how))
 
-    listed, _ = settle(dropped.toDF("_dropped").where("_dropped IS NOT NULL").distinct(), "dropped")
-    side = F.broadcast(listed) if listed.count() <= BROADCAST_KEYS else listed
-    return docs.join(side, docs[key] == side["_dropped"], "left_anti")
+
+def identity(key: Column | str, text: Column | str) -> Column:
+    """What tells rows apart: the key (or none) and 128 bits of hash over the text; rows alike in both are repeats."""
+    return F.struct((F.col(key) if isinstance(key, str) else key).alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("identity"), text).alias("h2"))
+
+
+def _listed(own: Column, rows: DataFrame) -> tuple[DataFrame, Column]:
+    """Identities (the one column of ``rows``) as a table to join to, broadcast if short by its count, and the condition."""
+    flat, _ = settle(rows.toDF("_d").select(F.col("_d.key").alias("__key"), F.col("_d.h1").alias("__h1"), F.col("_d.h2").alias("__h2")).distinct(), "identities")
+    return (F.broadcast(flat) if flat.count() <= BROADCAST_KEYS else flat), (own["h1"] == flat["__h1"]) & (own["h2"] == flat["__h2"]) & own["key"].eqNullSafe(flat["__key"])
+
+
+def without_rows(docs: DataFrame, key: str, text: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose :func:`identity` is in the one column of ``dropped``, null keys included.
+
+    A short list stays with the texts where they are; a longer one is joined by a shuffle.
+    """
+    side, same = _listed(identity(docs[key], docs[text]), dropped)
+    return docs.join(side, same, "left_anti")
+
+
+def once(docs: DataFrame, key: str, text: str, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one row of each :func:`identity` in the one column of ``repeated``; all other rows stay."""
+    if repeated.isEmpty():
+        return docs
+    side, same = _listed(identity(docs[key], docs[text]), repeated)
+    many = docs.join(side, same, "left_semi").withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit("identity"), F.col(text))})
+    return docs.join(side, same, "left_anti").unionByName(many.dropDuplicates([key, "__h1", "__h2"]).drop("__h1", "__h2"))

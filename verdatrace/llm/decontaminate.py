@@ -4,10 +4,13 @@
 documents with, for every term of the segment, the ascending positions of its
 tokens.  The segments are stored as Parquet in the shared folder; they are the
 index, and any number of benchmarks can be looked up in it without the texts.
-A phrase is found by intersecting offset-adjusted posting lists, starting from
-the term that is rarest in the segment and stopping when a list is empty;
-proximity matches intersect with a tolerance instead.  Segments hold whole
-documents, so no lookup crosses tasks and nothing is shuffled; one frequent
+A window is looked up only in segments that have its rarest term: the terms of
+the test items are counted over the whole index first, each window is filed under
+the one that is rarest there, and a segment walks its own terms.  From that
+term's list on the offset-adjusted lists are intersected, the rarest of the
+segment first, until one is empty: with a tolerance for proximity matches (every
+word at most ``SLOP`` words beside its place), exactly for phrases.  Segments hold
+whole documents, so no lookup crosses tasks and nothing is shuffled; one frequent
 term, document or passage only lengthens lists inside segments.
 
 Test items are sent to the executors in blocks of at most ``BLOCK_WINDOWS``
@@ -15,9 +18,13 @@ windows, so what is broadcast at once has a fixed bound; each further block is
 one more pass over the stored index.
 
 Nulls, empties and the rest: a null or wordless text has no words, no hits and
-is not contaminated; an item without words, or with a null id, matches nothing;
-rows with null or repeated ids are reported one by one; items that share an id
-count once; empty tables on either side give no hits.
+is not contaminated; an item without words matches nothing; an item with a null
+id hits words like any other but has no id to be counted or listed; rows with
+null or repeated ids are reported one by one; items that share an id count once;
+a text longer than a segment is a segment of its own; of equally rare terms the
+first of the alphabet leads; columns beside key and text are neither read nor returned,
+but :func:`keep_clean` returns them as they are; empty tables on either side
+give no hits.
 """
 
 from __future__ import annotations
@@ -29,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import bytes_of, chunks, map_arrow, settle, without_keys
+from verdatrace.llm.common import bytes_of, chunks, identity, map_arrow, settle, without_rows
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
+#: Words by which a word may lie beside its place in a proximity match.
+SLOP = 2
 #: Bytes of text that a segment covers, one document at least.
 SEGMENT_BYTES = 4 << 20
 #: Windows of test items that are broadcast at once.
@@ -93,14 +102,16 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 class _Postings:
-    """Posting lists of one stored segment."""
+    """Posting lists of one stored segment, for the terms in ``asked``."""
 
-    def __init__(self, terms: list[bytes], counts: np.ndarray, gaps: bytes, n_words: np.ndarray):
-        self.place = {t: i for i, t in enumerate(terms)}
+    def __init__(self, terms: list[bytes], counts: np.ndarray, gaps: bytes, n_words: np.ndarray, asked: dict[bytes, int]):
+        #: From the number that a term has among those asked for to its place here.
+        self.place = {asked[t]: i for i, t in enumerate(terms) if t in asked}
         self.ends = np.cumsum(counts)
         self.counts = counts
         self.gaps = np.frombuffer(gaps, "<u4")
         self.doc_ends = np.cumsum(n_words)
+        self.doc_starts = self.doc_ends - n_words
         self.lists: dict[int, np.ndarray] = {}
 
     def positions(self, term: int) -> np.ndarray:
@@ -109,41 +120,49 @@ class _Postings:
             self.lists[term] = np.cumsum(self.gaps[end - self.counts[term] : end], dtype=np.int64)
         return self.lists[term]
 
-    def phrase(self, terms: list[int]) -> np.ndarray:
-        """Starts of the exact phrase, from the rarest term on, within documents."""
-        order = sorted(range(len(terms)), key=lambda k: self.counts[terms[k]])
-        starts = self.positions(terms[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(starts):
-                return starts
+    def matches(self, window: list[int], first: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the exact phrase, and positions of its word number ``first`` with every other at most ``slop`` words beside its place.
+
+        Both lie within documents; every exact match is a proximity match, so the
+        intersection with tolerance comes first and narrows the exact one.
+        """
+        none = np.zeros(0, np.int64)
+        terms = [self.place.get(t) for t in window]
+        if None in terms:
+            return none, none
+        order = sorted((k for k in range(len(terms)) if k != first), key=lambda k: self.counts[terms[k]])
+        anchor = self.positions(terms[first])
+        doc = self.document(anchor)
+        low, high = self.doc_starts[doc], self.doc_ends[doc] - 1
+        for k in order:
             at = self.positions(terms[k])
-            places = np.searchsorted(at, starts + k)
-            starts = starts[at[np.minimum(places, len(at) - 1)] == starts + k]
-        starts = starts[starts >= 0]
-        return starts[self.document(starts) == self.document(starts + len(terms) - 1)]
-
-    def near(self, terms: list[int], slop: int) -> np.ndarray:
-        """Positions of the rarest term with every other term at most ``slop`` words beside its place in the phrase."""
-        order = sorted(range(len(terms)), key=lambda k: self.counts[terms[k]])
-        anchor, starts = order[0], self.positions(terms[order[0]]) - order[0]
-        for k in order[1:]:
+            place = anchor + (k - first)
+            # The first occurrence within the tolerance and the document, if there is one.
+            found = np.searchsorted(at, np.maximum(place - slop, low))
+            ok = (found < len(at)) & (at[np.minimum(found, len(at) - 1)] <= np.minimum(place + slop, high))
+            if not ok.any():
+                return none, none
+            if not ok.all():
+                anchor, low, high = anchor[ok], low[ok], high[ok]
+        starts = anchor - first
+        starts = starts[(starts >= low) & (starts + len(terms) - 1 <= high)]
+        for k in order:
+            if not len(starts):
+                break
             at = self.positions(terms[k])
-            places = np.searchsorted(at, starts + k - slop)
-            found = at[np.minimum(places, len(at) - 1)]
-            ok = (places < len(at)) & (found <= starts + k + slop)
-            starts = starts[ok & (self.document(np.where(ok, found, 0)) == self.document(starts + anchor))]
-        return starts + anchor
+            starts = starts[at[np.minimum(np.searchsorted(at, starts + k), len(at) - 1)] == starts + k]
+        return starts, anchor
 
     def document(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_ends, positions, side="right")
 
 
 def windows_of(items: list[tuple], width: int = WINDOW) -> dict[tuple[bytes, ...], list]:
-    """From each distinct window to the items that have it."""
+    """From each distinct window to the ids (null for none) of the items that have it."""
     out: dict[tuple[bytes, ...], list] = {}
     for item, text in items:
         w = words((text or "").encode())
-        for k in range(max(1, len(w) - width + 1) if w and item is not None else 0):
+        for k in range(max(1, len(w) - width + 1) if w else 0):
             owners = out.setdefault(tuple(w[k : k + width]), [])
             if item not in owners:
                 owners.append(item)
@@ -162,59 +181,82 @@ def _blocks(items: DataFrame, key: str, text: str, width: int) -> Iterator[dict[
     yield windows_of(rows, width)
 
 
-def _postings(segments: pa.RecordBatch) -> Iterator[tuple[int, _Postings]]:
-    for k in range(segments.num_rows):
-        column = {n: segments.column(i)[k] for i, n in enumerate(segments.schema.names)}
-        yield k, _Postings(column["terms"].as_py(), np.asarray(column["counts"].values, np.int32), column["positions"].as_py(), np.asarray(column["n_words"].values, np.int64))
-
-
-def phrase_matches(index: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """One row a document: ``key``, ``n_words``, ``spans`` and ``items``.
-
-    ``spans`` has the first and last word (counted from 0) of each match; with
-    ``slop`` the matches are proximity matches and a span is the rarest term's
-    word.  ``items`` are the matching items' ids as text, ascending.
+def _filed(index: DataFrame, block: dict[tuple[bytes, ...], list]) -> tuple[dict[bytes, int], dict[int, list]]:
+    """Numbers of the block's terms, and the windows (as numbers, with their owners) under the term that is rarest in the index."""
+    terms = sorted({t for w in block for t in w})
+    shared = index.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+
+    def run(segments: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
+        for k in range(segments.num_rows):
+            counts = np.asarray(segments.column(1)[k].values)
+            found = [(shared.value[t], i) for i, t in enumerate(segments.column(0)[k].as_py()) if t in shared.value]
+            if found:
+                number, i = np.array(found).T
+                total[number] += counts[i]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "n"])
+
+    counted = {r["term"]: r["n"] for r in map_arrow(index.select("terms", "counts"), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    filed: dict[int, list] = {}
+    for w, owners in block.items():
+        numbers = [shared.value[t] for t in w]
+        if all(t in counted for t in numbers):  # a term that no document has
+            rarest = min(numbers, key=lambda t: (counted[t], t))
+            filed.setdefault(rarest, []).append((numbers, numbers.index(rarest), owners))
+    return shared.value, filed
+
+
+def phrase_matches(index: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row a document: ``key``, ``n_words``, ``spans``, ``items``, ``near`` and ``near_items``.
+
+    ``spans`` has the first and last word (counted from 0) of each exact match,
+    ``near`` the word of a proximity match's rarest term, in order; ``items`` and
+    ``near_items`` are the matching items' ids as text, ascending.
     """
     sc, frames = index.sparkSession.sparkContext, []
     kind = index.schema["keys"].dataType.elementType.simpleString()
-    schema = f"segment bigint, place bigint, key {kind}, n_words bigint, spans array<struct<first: int, last: int>>, items array<string>"
+    schema = f"segment bigint, place bigint, key {kind}, n_words bigint, spans array<struct<first: int, last: int>>, items array<string>, near array<int>, near_items array<string>"
     # Segment and place tell documents of equal or null keys apart when blocks are put together.
     rows = index.select("keys", "n_words", "terms", "counts", "positions", F.monotonically_increasing_id().alias("segment"))
+    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     for block in _blocks(items, item_key, item_text, width):
-        shared = sc.broadcast([(list(w), owners) for w, owners in block.items()])
+        shared = sc.broadcast(_filed(index, block))
 
         def run(segments: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
-            for k, postings in _postings(segments):
-                keys, n_words = segments.column(0)[k].values, postings.doc_ends
-                lengths = np.diff(n_words, prepend=0)
-                spans: list[list] = [[] for _ in range(len(keys))]
-                found: list[set] = [set() for _ in range(len(keys))]
-                for window, owners in shared.value:
-                    terms = []
-                    for word in window:
-                        term = postings.place.get(word)
-                        if term is None:
-                            break
-                        terms.append(term)
-                    if len(terms) < len(window):
-                        continue
-                    starts = postings.phrase(terms) if slop is None else postings.near(terms, slop)
-                    for start, doc in zip(starts.tolist(), postings.document(starts).tolist(), strict=True):
-                        first = start - int(n_words[doc] - lengths[doc])
-                        spans[doc].append((first, first + len(window) - 1 if slop is None else first))
-                        found[doc].update(owners)
-                segment = np.full(len(keys), segments.column(5)[k].as_py(), np.int64)
+            asked, filed = shared.value
+            for k in range(segments.num_rows):
+                column = {n: segments.column(i)[k] for i, n in enumerate(segments.schema.names)}
+                keys, lengths = column["keys"].values, np.asarray(column["n_words"].values, np.int64)
+                postings = _Postings(column["terms"].as_py(), np.asarray(column["counts"].values, np.int32), column["positions"].as_py(), lengths, asked)
+                size = range(len(keys))
+                spans, near = [set() for _ in size], [set() for _ in size]
+                found, near_found = [set() for _ in size], [set() for _ in size]
+                for term in postings.place:
+                    for window, rarest, owners in filed.get(term, ()):
+                        starts, anchors = postings.matches(window, rarest, slop)
+                        for at, doc in zip(starts.tolist(), postings.document(starts).tolist(), strict=True):
+                            first = at - int(postings.doc_starts[doc])
+                            spans[doc].add((first, first + len(window) - 1))
+                            found[doc].update(owners)
+                        for at, doc in zip(anchors.tolist(), postings.document(anchors).tolist(), strict=True):
+                            near[doc].add(at - int(postings.doc_starts[doc]))
+                            near_found[doc].update(owners)
+                listed = lambda x: pa.array([sorted(i for i in ids if i is not None) for ids in x], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(segment), pa.array(np.arange(len(keys), dtype=np.int64)), keys, pa.array(lengths, pa.int64()), pa.array([[{"first": a, "last": b} for a, b in sorted(set(x))] for x in spans], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                    names=["segment", "place", "key", "n_words", "spans", "items"],
-                )
+                    [
+                        pa.array(np.full(len(keys), column["segment"].as_py(), np.int64)), pa.array(np.arange(len(keys), dtype=np.int64)), keys, pa.array(lengths, pa.int64()),
+                        pa.array([[{"first": a, "last": b} for a, b in sorted(x)] for x in spans], span), listed(found), pa.array([sorted(x) for x in near], pa.list_(pa.int32())), listed(near_found),
+                    ],
+                    names=["segment", "place", "key", "n_words", "spans", "items", "near", "near_items"],
+                )
 
         frames.append(map_arrow(rows, run, schema))
     whole = frames[0]
     if len(frames) > 1:
         for frame in frames[1:]:
             whole = whole.unionAll(frame)
-        whole = whole.groupBy("segment", "place").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        whole = whole.groupBy("segment", "place").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("spans", "items", "near", "near_items")))
     return whole.drop("segment", "place")
 
 
@@ -229,7 +271,7 @@ def covered(spans: str) -> F.Column:
 
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row a document: ``key``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``."""
+    """One row a document: ``key``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``n_near_items`` (items with proximity matches)."""
     found = phrase_matches(build_index(docs, key, text), items, item_key, item_text)
     return found.select(
         F.col("key").alias(key),
@@ -238,10 +280,12 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near_items"),
     )
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that hold a window of an item."""
-    found = phrase_matches(build_index(docs, key, text), items)
-    return without_keys(docs, key, found.where(F.size("spans") > 0).select("key"))
+    """``docs`` without the rows that hold a window of an item, whatever their keys."""
+    rows = docs.select(identity(key, text).alias("own"), F.col(text).alias("t"))
+    found = phrase_matches(build_index(rows, "own", "t"), items)
+    return without_rows(docs, key, text, found.where(F.size("spans") > 0).select("key"))

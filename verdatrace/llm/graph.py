@@ -2,8 +2,9 @@
 
 Every round is two joins and two map-side combined minima over the edges; the
 edge table is written to the shared folder after each round, so plans stay
-short and a lost executor costs one round at most.  Nothing is collected but
-two numbers a round.
+short and a lost executor costs one round at most.  A hub with many neighbours
+is met by a broadcast, not dealt by key (:func:`~verdatrace.llm.common.join_keyed`).
+Nothing is collected but some numbers a round.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import drop_path, settle
+from verdatrace.llm.common import drop_path, join_keyed, settle
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -31,10 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Every edge once, from its lesser end: the greater end moves to the least neighbour of the lesser.
+        up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large, large_path = settle(join_keyed(up, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_keyed(large, lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         made, made_path = settle(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_path(spark, large_path)
         after = _signature(made)
         drop_path(spark, path)
         edges, path = made, made_path

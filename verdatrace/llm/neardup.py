@@ -5,7 +5,9 @@ word shingles.  Distinct fingerprints are nodes; two nodes link if at most
 ``RADIUS`` bits differ, and documents are grouped by connected components.
 
 The upper levels of a vantage-point tree are fitted to a bounded sample of
-fingerprints.  They cut the space into shards: at a vantage point with median
+fingerprints.  They cut the space into shards; a shard that is still large is
+cut again, by a tree fitted to a sample of its own, until all are small, so a
+shard's size does not grow with the input.  At a vantage point with median
 distance ``mu`` a fingerprint belongs inside (at most ``mu``) or outside.  By
 the triangle inequality only a fingerprint whose distance is within the radius
 of ``mu`` can have links across, so such fingerprints are copied over the
@@ -15,12 +17,17 @@ exactly.  A shard gives a spanning forest of its links, not its pairs, so a
 dense group costs rows in proportion to its size.  The forests of all shards
 are put together by distributed connected components.
 
-Exact copies share a fingerprint and are one node, whatever their number.
+Exact copies share a fingerprint and are one node, whatever their number.  A
+shard stays large only where cutting it no longer makes it smaller (hundreds of
+thousands of different fingerprints within a few bits of each other); it is
+searched in one task, as exactly.
 
 Nulls, empties and the rest: null and wordless texts have the fingerprint zero
 and link like any other; a null key never becomes a component's name unless all
-its members' keys are null; repeated rows are reported one by one; an empty
-table gives an empty table.
+its members' keys are null; repeated rows are reported one by one; very long
+texts take steps of bounded memory; ties (equal fingerprints) are links at
+distance zero; columns beside key and text are neither read nor returned, but
+:func:`keep_first` returns them as they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import bytes_of, drop_path, map_arrow, settle, without_keys
+from verdatrace.llm.common import bytes_of, drop_path, identity, join_keyed, map_arrow, once, settle, without_rows
 from verdatrace.llm.graph import components
 
 #: Differing bits up to which fingerprints link.
@@ -42,10 +49,16 @@ RADIUS = 2
 SHINGLE = 3
 #: Fingerprints that a shard is meant to hold.
 SHARD_NODES = 2500
-#: Fingerprints that the upper levels are fitted to, at most.
+#: Shards with more than LARGE * SHARD_NODES fingerprints are cut again.
+LARGE = 25
+#: Fingerprints that the upper levels are fitted to, about.
 SAMPLE = 8192
-#: Levels of the upper tree, at most; larger inputs have larger shards.
-MAX_DEPTH = 12
+#: Levels that are cut at a time.
+LEVELS = 8
+#: Trees that are broadcast at a time, of 2 ** LEVELS nodes at most.
+TREES = 1024
+#: Names of shards up to which a list of them is broadcast; they are counted first.
+HOT_SHARDS = 500_000
 #: Fingerprints below which a shard's tree compares all.
 _LEAF = 192
 _BITS = 1 << 22
@@ -125,12 +138,13 @@ def upper_tree(sample: np.ndarray, depth: int) -> list:
     return nodes
 
 
-def route(fp: np.ndarray, tree: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(shard, fingerprints, resident)``: each fingerprint as resident of one shard, and as copy where its links may reach."""
+def route(fp: np.ndarray, tree: list, resident: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(shard, fingerprints, resident)``: each resident fingerprint as resident of one shard, and as copy where its links may reach."""
+    resident = np.ones(len(fp), bool) if resident is None else resident
     if not tree:
-        yield 0, fp, np.ones(len(fp), bool)
+        yield 0, fp, resident
         return
-    work = [(0, fp, np.ones(len(fp), bool))]
+    work = [(0, fp, resident)]
     while work:
         at, x, resident = work.pop()
         point, mu, inner, outer = tree[at]
@@ -180,16 +194,75 @@ def forest(fp: np.ndarray, resident: np.ndarray) -> np.ndarray:
     return label
 
 
+def _packed(tree: list) -> bytes:
+    """Nodes of a tree as rows of four 64-bit integers."""
+    return np.array([(int(np.uint64(p).view(np.int64)), mu, inner, outer) for p, mu, inner, outer in tree], "<i8").tobytes()
+
+
+def _unpacked(data: bytes) -> list:
+    return [] if not data else [(np.int64(p).view(np.uint64), int(mu), int(inner), int(outer)) for p, mu, inner, outer in np.frombuffer(data, "<i8").reshape(-1, 4)]
+
+
+_SHARDED = "shard bigint, fp bigint, resident boolean, above bigint"
+
+
+def _cut(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``rows`` of the shards in ``large`` (``shard``, ``n``), dealt to smaller shards by a tree for each."""
+    near = F.broadcast(large) if large.count() <= TREES else large
+    # About SAMPLE rows of each shard, chosen by a hash of the fingerprint.
+    picked = rows.join(near, "shard").where(F.pmod(F.xxhash64("fp", "shard"), F.lit(1 << 30)).cast("double") * F.col("n") <= float(SAMPLE << 30)).select("shard", "fp", "n")
+
+    def fit(table: pa.Table) -> pa.Table:
+        fp = np.sort(np.ascontiguousarray(table.column("fp").to_numpy()).view(np.uint64))
+        n = table.column("n")[0].as_py()
+        tree = upper_tree(fp, min(LEVELS, max(1, math.ceil(math.log2(max(2, n) / SHARD_NODES)))))
+        return pa.table({"shard": table.column("shard")[:1], "n": table.column("n")[:1], "tree": pa.array([_packed(tree)], pa.binary())})
+
+    trees, _ = settle(picked.groupBy("shard").applyInArrow(fit, "shard bigint, n bigint, tree binary"), "trees")
+    blocks, out = -(-trees.count() // TREES), []
+    for block in range(blocks):
+        held = {r["shard"]: (r["n"], r["tree"]) for r in trees.where(F.pmod(F.xxhash64("shard"), F.lit(blocks)) == block).collect()}
+        shared = rows.sparkSession.sparkContext.broadcast(held)
+
+        def deal(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
+            shard, fp, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for of in np.unique(shard):
+                if int(of) not in shared.value:
+                    continue
+                n, tree = shared.value[int(of)]
+                own = shard == of
+                for leaf, x, resident in route(np.ascontiguousarray(fp[own]).view(np.uint64), _unpacked(tree), home[own]):
+                    # A shard's name is a hash; should two ever share one, they are searched together, which loses nothing.
+                    name = (int(of) * 0x9E3779B97F4A7C15 + (leaf + 1) * 0xC2B2AE3D27D4EB4F) % (1 << 63)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), name, np.int64)), pa.array(x.view(np.int64)), pa.array(resident), pa.array(np.full(len(x), n, np.int64))], names=["shard", "fp", "resident", "above"])
+
+        out.append(map_arrow(rows.select("shard", "fp", "resident"), deal, _SHARDED))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionAll(part)
+    return whole
+
+
+def shards(nodes: DataFrame, count: int) -> DataFrame:
+    """All fingerprints dealt to shards, with copies where links may reach: ``shard``, ``fp``, ``resident``."""
+    rows = nodes.select(F.lit(0).cast("bigint").alias("shard"), "fp", F.lit(True).alias("resident"), F.lit(2 * count).cast("bigint").alias("above"))
+    limit, done = SHARD_NODES, []
+    while True:
+        # A shard that cutting has not made smaller by a fifth stays as it is.
+        large, _ = settle(rows.groupBy("shard").agg(F.count("*").alias("n"), F.max("above").alias("above")).where((F.col("n") > limit) & (5 * F.col("n") < 4 * F.col("above"))).select("shard", "n"), "large")
+        if large.isEmpty():
+            break
+        side = F.broadcast(large.select("shard")) if large.count() <= HOT_SHARDS else large.select("shard")
+        done.append(rows.join(side, "shard", "left_anti"))
+        rows, _ = settle(_cut(rows.join(side, "shard", "left_semi"), large), "shards")
+        limit = LARGE * SHARD_NODES
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows.select("shard", "fp", "resident")
+
+
 def links(nodes: DataFrame, count: int) -> DataFrame:
     """Spanning forests of the links between the distinct fingerprints ``fp``: edges ``u``, ``v``."""
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, count) / SHARD_NODES))))
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy() if depth else np.zeros(0, np.int64)
-    tree = upper_tree(np.ascontiguousarray(sample).view(np.uint64), depth)
-
-    def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fp = np.ascontiguousarray(batch.column(0).to_numpy()).view(np.uint64)
-        for shard, x, resident in route(fp, tree):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), shard, np.int32)), pa.array(x.view(np.int64)), pa.array(resident)], names=["shard", "fp", "resident"])
 
     def search(table: pa.Table) -> pa.Table:
         fp = np.ascontiguousarray(table.column("fp").to_numpy()).view(np.uint64)
@@ -197,35 +270,41 @@ def links(nodes: DataFrame, count: int) -> DataFrame:
         out = root != np.arange(len(root))
         return pa.table({"u": fp[out].view(np.int64), "v": fp[root[out]].view(np.int64)})
 
-    return map_arrow(nodes.select("fp"), deal, "shard int, fp bigint, resident boolean").groupBy("shard").applyInArrow(search, "u bigint, v bigint")
+    return shards(nodes, count).groupBy("shard").applyInArrow(search, "u bigint, v bigint")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: ``key``, ``fp`` and ``component_id``, the least key that links reach."""
+# -- classes ----------------------------------------------------------------
+
+
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row a document: ``own`` (its identity), ``fp``, and ``first``, the identity of its component's first document."""
     spark = docs.sparkSession
-    prints, _ = settle(fingerprints(docs, key, text), "prints")
-    nodes, _ = settle(prints.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
+    rows = docs.select(identity(key, text).alias("own"), F.col(text).alias("t"))
+    prints, _ = settle(fingerprints(rows, "own", "t"), "prints")
+    # The least key is first; where all are null, the least hash.
+    nodes, _ = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("own.key").isNull().alias("none"), "own")).alias("first")), "nodes")
     edges, path = settle(links(nodes, nodes.count()), "links")
     joined = components(edges)
     drop_path(spark, path)
     # A root has no row of its own in `joined`; it names itself.
     members = joined.unionAll(joined.select(F.col("root").alias("node"), "root").distinct())
-    named = members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "first")
-    named, _ = settle(named.join(named.groupBy("root").agg(F.min("first").alias("name")), "root").select("node", "name"), "members")
-    of_node = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("name", "first").alias("component_id"))
-    return prints.join(of_node, "fp").select(key, "fp", "component_id")
+    named, _ = settle(members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "first"), "members")
+    named = join_keyed(named.drop("first"), named.groupBy("root").agg(F.min("first").alias("name")), "root")
+    of_node, _ = settle(nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("name", "first").alias("name")), "named")
+    return join_keyed(prints, of_node, "fp").select("own", "fp", F.col("name.own").alias("first"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: ``key``, ``fp`` and ``component_id``, the least key that links reach."""
+    return _classes(docs, key, text).select(F.col("own.key").alias(key), "fp", F.col("first.key").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the least key.
+    """``docs`` with one row of each component: the one with the least key, null keys last.
 
-    Rows with a null key have no name to be dropped by and stay; of rows that
-    repeat a key one stays.
+    Rows are told apart by key and text, so rows with null or repeated keys are
+    dropped like any other; of rows that repeat both one stays.
     """
-    found = classes(docs, key, text)
-    found, _ = settle(found.select(F.col(key).alias("_key"), "component_id"), "classes")
-    kept = without_keys(docs, key, found.where("_key <> component_id").select("_key"))
-    repeated = found.where("_key IS NOT NULL").groupBy("_key").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(kept.where(F.col(key).isNull()))
+    found, _ = settle(_classes(docs, key, text).select("own", "first"), "classes")
+    kept = without_rows(docs, key, text, found.where(~F.col("own").eqNullSafe(F.col("first"))).select("own"))
+    return once(kept, key, text, found.where(F.col("own").eqNullSafe(F.col("first"))).groupBy("own").count().where("count > 1").select("own"))

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from verdatrace.llm import licenses, secrets
+from verdatrace.llm import decontaminate, licenses, secrets
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 
 DECONTAMINATION = f"""
-WITH item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, {_LETTERS}), {_WORD}) AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-wins AS (SELECT DISTINCT item, list_slice(w, k, k + 9) AS win FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM item_words WHERE len(w) > 0)),
+WITH item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, {_LETTERS}), {_WORD}) AS w FROM benchmark WHERE text IS NOT NULL),
+owned AS (SELECT DISTINCT item, list_slice(w, k, k + 9) AS win FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM item_words WHERE len(w) > 0)),
+wins AS (SELECT row_number() OVER () AS wid, win FROM (SELECT DISTINCT win FROM owned)),
 doc_words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), {_WORD}) AS w FROM documents),
 sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
 places AS (SELECT rid, k, n, list_slice(w, k, k + n - 1) AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM doc_words, sizes WHERE len(w) >= n)),
-hits AS (SELECT rid, k, n, item FROM places JOIN wins USING (win)),
+hits AS (SELECT rid, k, n, item FROM places JOIN owned USING (win)),
 covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT rid, k, n FROM hits)) GROUP BY rid),
-found AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid)
+found AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid),
+asked AS (SELECT wid, unnest(win) AS term, generate_subscripts(win, 1) AS k FROM wins),
+pos AS (SELECT rid, term, p FROM (SELECT rid, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM doc_words) WHERE term IN (SELECT term FROM asked)),
+freq AS (SELECT term, count(*) AS c FROM pos GROUP BY term),
+anchors AS (SELECT wid, arg_min(asked.term, (c, asked.term, k)) AS term, arg_min(k, (c, asked.term, k)) AS a FROM asked JOIN freq USING (term) GROUP BY wid),
+starts AS (SELECT wid, a, rid, p FROM anchors JOIN pos USING (term)),
+near AS (SELECT starts.wid, starts.rid FROM starts JOIN asked ON asked.wid = starts.wid JOIN pos ON pos.rid = starts.rid AND pos.term = asked.term AND pos.p BETWEEN starts.p + asked.k - starts.a - {decontaminate.SLOP} AND starts.p + asked.k - starts.a + {decontaminate.SLOP}
+    GROUP BY starts.wid, starts.rid, starts.p HAVING count(DISTINCT asked.k) = (SELECT len(win) FROM wins WHERE wins.wid = starts.wid)),
+close AS (SELECT rid, count(DISTINCT item) AS n_near_items FROM near JOIN wins USING (wid) JOIN owned USING (win) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc_words LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)"""
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
+FROM doc_words LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid) LEFT JOIN close USING (rid)"""
 
 
 def _quote(pattern: str) -> str:

@@ -8,20 +8,27 @@ a prediction mixes the estimates of all depths.  A text's score is the log10
 probability of its lower-cased bytes and its end; :func:`score` also gives the
 code length in bits per byte.
 
-Counts cover all training texts.  The model keeps the n-grams with at least one
-``2 ** KEEP_BITS``-th of all training bytes, so whatever the input it has fewer
-than ``2 ** KEEP_BITS`` n-grams a depth; what is left out still counts in the
-shallower nodes.
+Counts cover all training texts, and every n-gram of them is kept.  The tree is
+never in one place: n-grams are dealt to buckets by their last two context
+bytes, so a bucket holds whole subtrees from depth two on, and builds them when
+it is asked.  Only the two upper levels, 65,536 contexts and partial bytes at
+most, are put together on the driver from sums over the buckets.
 
-Beside it stands a unigram word model with additive smoothing.  Its vocabulary
-grows with the corpus, so it is never sent to one place: words with at least a
-``2 ** HOT_BITS``-th of all tokens (fewer than ``2 ** HOT_BITS`` words) are
-broadcast, and all others are looked up in hash buckets by packed requests.
-Words are told apart by their XXH64.
+Beside it stands a unigram word model with additive smoothing; words are told
+apart by their XXH64 and dealt to buckets by it.
+
+A text's n-grams and words are looked up in two ways with one result: those with
+at least a ``2 ** HOT_BITS``-th of all (fewer than ``2 ** HOT_BITS`` of each) are
+broadcast with their values as sorted hash arrays, and all others go to their
+buckets as packed requests, which come back as sums by document.  So scores do
+not depend on where that line is drawn.
 
 Nulls, empties and the rest: a null text is the empty text, which has one token
 (its end); a null id is not held out and is learned from; repeated rows count
-and are scored each; an empty table gives an empty table.
+and are scored each; a text longer than a segment is a segment of its own;
+columns beside key and text are neither read nor returned; ties do not arise; an
+empty table gives an empty table, and with nothing to learn from every byte
+costs eight bits.
 """
 
 from __future__ import annotations
@@ -34,15 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import bytes_of, chunks, drop_path, map_arrow, settle
-from verdatrace.llm.ngrams import PACKED, Counts, HashArray, bucket_count, mix, packed, sum_buckets, total, windows
+from verdatrace.llm.common import bytes_of, chunks, map_arrow, settle
+from verdatrace.llm.ngrams import PACKED, Counts, HashArray, bucket_count, bucket_of, packed, sum_buckets, total, windows
 from verdatrace.llm.quality import held_out
 
-#: Preceding bytes that a prediction looks at.
+#: Preceding bytes that a prediction looks at; two at least.
 DEPTH = 5
-#: An n-gram is kept with a 2 ** KEEP_BITS-th of the training bytes.
-KEEP_BITS = 24
-#: A word is broadcast with a 2 ** HOT_BITS-th of the training tokens.
+#: A word or an n-gram is broadcast with a 2 ** HOT_BITS-th of all.
 HOT_BITS = 20
 #: Bytes of text of a segment, whose lookups travel together.
 SEGMENT_BYTES = 4 << 20
@@ -76,91 +81,114 @@ def _block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-class ContextTree:
-    """Nodes of all depths: estimate of a one, and weight of the own estimate against the children's."""
+def _node(code: np.ndarray, k: int) -> np.ndarray:
+    """Node of the k-th decision: the context and, in the lowest byte, the bits decided so far under a leading one."""
+    return (code & ~np.uint64(255)) | np.uint64(1 << k) | ((code & np.uint64(255)) >> np.uint64(8 - k))
+
+
+def _bit(code: np.ndarray, k: int) -> np.ndarray:
+    return ((code >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+
+
+def _shorter(code: np.ndarray, depth: int) -> np.ndarray:
+    """The n-gram, or node, with ``depth`` context bytes."""
+    return code & np.uint64((1 << (8 * depth + 8)) - 1)
+
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        """``grams[d]``: (d+1)-grams as integers, newest byte lowest, and their counts."""
-        self.depth = len(grams) - 1
-        self.tables: list[tuple[HashArray, np.ndarray, np.ndarray]] = [None] * len(grams)  # type: ignore[list-item]
-        below = None
-        for d in range(self.depth, -1, -1):
-            code, count = grams[d]
-            # Decisions differ in their leading ones, so each has nodes of its own.
-            parts = []
+def _level(own_counts: tuple[np.ndarray, np.ndarray], below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Estimate of a one, weight of the own estimate against the children's, and log of the weighted block, node by node.
+
+    ``below`` is the sum of the children's weighted blocks; a training n-gram
+    has all its context, so an inner node's children cover all that it counts.
+    """
+    n0, n1 = (x.astype(float) for x in own_counts)
+    own = _block(n0, n1)
+    if below is None:
+        return (n1 + 0.5) / (n0 + n1 + 1), np.ones(len(n0)), own
+    mixed = np.logaddexp(own, below) - np.log(2)
+    return (n1 + 0.5) / (n0 + n1 + 1), np.exp(own - np.log(2) - mixed), mixed
+
+
+class Subtree:
+    """Nodes from depth ``top`` down to ``depth`` over all training n-grams that share their first ``top`` context bytes with one of these."""
+
+    def __init__(self, code: np.ndarray, count: np.ndarray, depth: int, top: int = 2):
+        """``code``: distinct (depth + 1)-grams in ascending order, newest byte lowest."""
+        self.depth, self.top = depth, top
+        #: By depth and decision: node keys in ascending order, estimates, weights.
+        self.levels: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By decision: node keys at ``top``, their counts, logs of their weighted blocks.
+        self.roots: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        below: list = [None] * 8
+        for d in range(depth, top - 1, -1):
+            if d < depth:
+                code, count = total(_shorter(code, d), count)
+            self.roots = []
             for k in range(8):
-                bit = ((code >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-                parts.append(total(self._node(code, k), np.stack([count * ~bit, count * bit], 1)))
-            key, n = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
-            order = np.argsort(key)
-            key, n = key[order], n[order]
-            del parts, order
-            n0, n1 = n[:, 0].astype(float), n[:, 1].astype(float)
-            own = _block(n0, n1)
-            weighted, weight = own.copy(), np.ones(len(key))
-            if below is not None and len(below[0]):
-                child, child_log, child_n = below
-                parent = np.searchsorted(key, self._drop(child, d + 1))
-                logs = np.bincount(parent, child_log, len(key))
-                seen = np.bincount(parent, child_n, len(key))
-                # What the kept children leave out is coded as the node itself codes it.
-                logs = logs + own * np.clip(1 - seen / (n0 + n1), 0, 1)
-                inner = seen > 0
-                mixed = np.logaddexp(own, logs) - np.log(2)
-                weight[inner] = np.exp(own[inner] - np.log(2) - mixed[inner])
-                weighted[inner] = mixed[inner]
-            below = (key, weighted, n0 + n1)
-            table = HashArray(key)
-            self.tables[d] = (table, ((n1 + 0.5) / (n0 + n1 + 1))[table.order].astype(np.float32), weight[table.order].astype(np.float32))
-        code = grams[self.depth][0]
-        self.known = HashArray(code)
-        self.known_log = self._evaluate(code[self.known.order]).astype(np.float32)
-
-    @staticmethod
-    def _node(code: np.ndarray, k: int) -> np.ndarray:
-        """Node of the k-th decision: the context and, in the lowest byte, the bits decided so far under a leading one."""
-        byte = code & np.uint64(255)
-        return (code & ~np.uint64(255)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-
-    @staticmethod
-    def _drop(node: np.ndarray, depth: int) -> np.ndarray:
-        """The node one context byte shallower."""
-        return node & np.uint64((1 << (8 * depth)) - 1)
-
-    def _evaluate(self, code: np.ndarray) -> np.ndarray:
-        """Log10 probability of the last byte of each n-gram after the others."""
+                # The n-grams ascend, and with them their nodes.
+                node = _node(code, k)
+                first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
+                key, bit = node[first], _bit(code, k)
+                n1, n0 = (np.add.reduceat(np.where(x, count, 0), first) if len(first) else np.zeros(0) for x in (bit, ~bit))
+                under = None
+                if below[k] is not None:
+                    child, log = below[k]
+                    under = np.bincount(np.searchsorted(key, _shorter(child, d)), log, len(key))
+                estimate, weight, log = _level((n0, n1), under)
+                self.levels[d, k] = (key, estimate, weight)
+                below[k] = (key, log)
+                self.roots.append((key, n0, n1, log))
+
+    def one(self, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of a one at the k-th decision as depth ``top`` and all below see it, and whether they ever saw the node."""
+        p, found = np.full(len(node), 0.5), np.zeros(len(node), bool)
+        for d in range(self.depth, self.top - 1, -1):
+            key, estimate, weight = self.levels[d, k]
+            if not len(key):
+                continue
+            asked = _shorter(node, d)
+            place = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            ok = key[place] == asked
+            w, own = weight[place[ok]], estimate[place[ok]]
+            # Below the deepest node that was ever seen there is nothing to weigh against.
+            p[ok] = np.where(found[ok], w * own + (1 - w) * p[ok], own)
+            found |= ok
+        return p, found
+
+
+class Upper:
+    """The levels of no and of one context byte, as dense tables."""
+
+    def __init__(self, nodes: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray):
+        """Nodes of one context byte, their counts, and the sums of their children's weighted blocks."""
+        estimate, weight, log = _level((n0, n1), below)
+        self.levels = [(np.full(1 << 8, 0.5), np.ones(1 << 8), np.zeros(1 << 8, bool)), (np.full(1 << 16, 0.5), np.ones(1 << 16), np.zeros(1 << 16, bool))]
+        root = (nodes & np.uint64(255)).astype(np.int64)
+        seen = np.unique(root)
+        tables = [(seen, *_level(tuple(np.bincount(root, x, 256)[seen] for x in (n0, n1)), np.bincount(root, log, 256)[seen])[:2]), (nodes.astype(np.int64), estimate, weight)]
+        for (p, w, known), (at, own, of) in zip(self.levels, tables, strict=True):
+            p[at], w[at], known[at] = own, of, True
+
+    def log10(self, code: np.ndarray, deep: Subtree) -> np.ndarray:
+        """Log10 probability of the last byte of each n-gram after the others; ``deep`` has the subtrees of their contexts."""
         out = np.zeros(len(code))
         for k in range(8):
-            bit = (code >> np.uint64(7 - k)) & np.uint64(1)
-            node, p = self._node(code, k), np.full(len(code), 0.5)
-            found = np.zeros(len(code), bool)
-            for d in range(self.depth, -1, -1):
-                table, estimate, weight = self.tables[d]
-                place = table.find(self._drop(node, d + 1))
-                ok = place >= 0
-                own, w = estimate[place[ok]].astype(float), weight[place[ok]].astype(float)
-                # Below the deepest node that was ever seen there is nothing to weigh against.
-                p[ok] = np.where(found[ok], w * own + (1 - w) * p[ok], own)
-                found |= ok
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+            node = _node(code, k)
+            p, found = deep.one(node, k)
+            for d in (1, 0):
+                estimate, weight, known = (x[_shorter(node, d).astype(np.int64)] for x in self.levels[d])
+                p = np.where(known, np.where(found, weight * estimate + (1 - weight) * p, estimate), p)
+                found |= known
+            out += np.log10(np.where(_bit(code, k), p, 1 - p))
         return out
 
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        place = self.known.find(code)
-        out = self.known_log[np.maximum(place, 0)].astype(np.float64) if len(self.known_log) else np.zeros(len(code))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            distinct, where = np.unique(code[new], return_inverse=True)
-            out[new] = self._evaluate(distinct)[where]
-        return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Log10 probability of each text and its end."""
-        code, lengths = windows(texts, self.depth + 1)
-        return np.add.reduceat(self.log10(code), np.concatenate(([0], np.cumsum(lengths)[:-1]))) if len(texts) else np.zeros(0)
+# -- training ---------------------------------------------------------------
 
 
-# -- training ---------------------------------------------------------------
+def _dealt_by(code: np.ndarray) -> np.ndarray:
+    """The last two context bytes."""
+    return (code >> np.uint64(8)) & np.uint64(0xFFFF)
 
 
 def count_corpus(docs: DataFrame, train: F.Column, text: str, depth: int, buckets: int) -> DataFrame:
@@ -175,6 +203,10 @@ def count_corpus(docs: DataFrame, train: F.Column, text: str, depth: int, bucket
             yield from packed(_WORDS, word_keys(keys), np.fromiter(words.values(), np.int64, len(keys)), buckets)
             words.clear()
 
+        def gram_rows() -> Iterator[pa.RecordBatch]:
+            code, count = grams.take()
+            yield from packed(_NGRAMS, code, count, buckets, _dealt_by(code))
+
         for batch in batches:
             raw = bytes_of(batch.column(0))
             for a, b in chunks(raw):
@@ -187,49 +219,92 @@ def count_corpus(docs: DataFrame, train: F.Column, text: str, depth: int, bucket
                 if len(words) > 400_000:
                     yield from word_rows()
                 if grams.full():
-                    yield from packed(_NGRAMS, *grams.take(), buckets)
+                    yield from gram_rows()
         yield from word_rows()
-        yield from packed(_NGRAMS, *grams.take(), buckets)
+        yield from gram_rows()
 
     return sum_buckets(docs.where(train).select(text).mapInArrow(run, PACKED))
 
 
-def train_tree(counted: DataFrame, depth: int) -> ContextTree:
-    """The tree from the n-gram buckets; the driver gets fewer than ``2 ** KEEP_BITS`` n-grams a depth, in practice far fewer."""
-    grams = counted.where(F.col("kind") == _NGRAMS)
-    n = grams.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+def _unpack(keys: pa.Array | pa.ChunkedArray, counts: pa.Array | pa.ChunkedArray, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (ascending) and counts of one bucket."""
+    return np.frombuffer(keys[k].as_py(), "<u8"), np.frombuffer(counts[k].as_py(), "<i8")
 
-    def shorten(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
-        counts = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
-        for d in range(depth + 1):
-            k, c = total(keys & np.uint64((1 << (8 * d + 8)) - 1), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), d, np.int32)), pa.array(k.view(np.int64)), pa.array(c)], names=["depth", "gram", "n"])
 
-    kept = map_arrow(grams.select("keys", "counts"), shorten, "depth int, gram bigint, n bigint").groupBy("depth", "gram").agg(F.sum("n").alias("n")).where(F.col("n") * (1 << KEEP_BITS) >= n).toArrow()
-    d, gram, count = (np.ascontiguousarray(kept.column(i).to_numpy()) for i in range(3))
-    order = np.argsort(gram)
-    d, gram, count = d[order], gram[order].view(np.uint64), count[order]
-    return ContextTree([(gram[d == k], count[d == k]) for k in range(depth + 1)])
+def upper_levels(grams: DataFrame, depth: int) -> Upper:
+    """The two upper levels, from sums over the buckets; the driver gets 65,280 rows at most."""
+
+    def roots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for b in range(batch.num_rows):
+            deep = Subtree(*_unpack(batch.column(0), batch.column(1), b), depth)
+            for key, n0, n1, log in deep.roots:
+                node, at = np.unique(_shorter(key, 1), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(pa.array(np.bincount(at, x, len(node))) for x in (n0, n1, log))], names=["node", "n0", "n1", "log"])
+
+    made = map_arrow(grams.select("keys", "counts"), roots, "node bigint, n0 double, n1 double, log double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "log"))).toArrow()
+    node, n0, n1, log = (np.ascontiguousarray(made.column(k).to_numpy()) for k in range(4))
+    return Upper(node.view(np.uint64), n0, n1, log)
+
+
+def _frequent(counted: DataFrame, kind: int, least: int, value: str, of) -> DataFrame:
+    """``key`` and ``value`` of what was counted ``least`` times at least; ``of`` maps a bucket's keys, counts and choice to values."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for b in range(batch.num_rows):
+            keys, counts = _unpack(batch.column(0), batch.column(1), b)
+            often = counts >= least
+            if often.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(of(keys, counts, often))], names=["key", value])
+
+    return map_arrow(counted.where(F.col("kind") == kind).select("keys", "counts"), run, f"key bigint, {value} double")
+
+
+def _table(df: DataFrame) -> tuple[HashArray, np.ndarray]:
+    """Keys and values, of which there are fewer than ``2 ** HOT_BITS``, as a sorted hash array."""
+    made = df.toArrow()
+    table = HashArray(np.ascontiguousarray(made.column(0).to_numpy()).view(np.uint64))
+    return table, made.column(1).to_numpy()[table.order]
 
 
 # -- scoring ----------------------------------------------------------------
 
-_SEGMENT = "segment string, keys array<{kind}>, held_out array<boolean>, n_tokens array<bigint>, n_bytes array<bigint>, n_known array<bigint>, hot array<double>, score array<double>, requests array<struct<bucket: int, docs: binary, words: binary, times: binary>>"
+_SEGMENT = "segment string, keys array<{kind}>, held_out array<boolean>, n_tokens array<bigint>, n_bytes array<bigint>, n_known array<bigint>, base array<double>, score array<double>, requests array<struct<kind: int, bucket: int, docs: binary, asked: binary, times: binary>>"
+_REQUESTS = pa.list_(pa.struct([("kind", pa.int32()), ("bucket", pa.int32()), ("docs", pa.binary()), ("asked", pa.binary()), ("times", pa.binary())]))
 
 
-def _segments(docs: DataFrame, key: str, text: str, tree, hot, buckets: int) -> DataFrame:
-    """Texts scored by the tree and the hot words, one row a segment, with requests for all other words."""
+def _requests(kind: int, doc: np.ndarray, keys: np.ndarray, bucket: np.ndarray) -> list[dict]:
+    """Distinct pairs of document and key with their numbers, packed by bucket."""
+    order = np.lexsort((keys, doc, bucket))
+    doc, keys, bucket = doc[order], keys[order], bucket[order]
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])))) if len(doc) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(doc)))
+    doc, keys, bucket = doc[first], keys[first], bucket[first]
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else [0]
+    return [{"kind": kind, "bucket": int(bucket[a]), "docs": doc[a:b].astype("<u4").tobytes(), "asked": keys[a:b].astype("<u8").tobytes(), "times": times[a:b].astype("<u4").tobytes()} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _segments(docs: DataFrame, key: str, text: str, depth: int, hot_words, hot_grams, buckets: int) -> DataFrame:
+    """Texts scored by the broadcast words and n-grams, one row a segment, with requests for all others."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        model, (table, values) = tree.value, hot.value
+        (words, word_value), (grams, gram_value) = hot_words.value, hot_grams.value
         raw = bytes_of(batch.column(1))
         for a, b in chunks(raw, SEGMENT_BYTES):
             texts = [x.translate(_LOWER) for x in raw[a:b]]
-            score = np.concatenate([model.score(texts[s:e]) for s, e in chunks(texts, 1 << 19)])
+            score, requests = np.zeros(b - a), []
+            far = []
+            for s, e in chunks(texts, 1 << 19):
+                code, sizes = windows(texts[s:e], depth + 1)
+                place, doc = grams.find(code), np.repeat(np.arange(s, e), sizes)
+                known = place >= 0
+                if known.any():
+                    score += np.bincount(doc[known], gram_value[place[known]], b - a)
+                far.append((doc[~known], code[~known]))
+            doc, code = (np.concatenate([x[k] for x in far]) for k in (0, 1))
+            requests += _requests(_NGRAMS, doc, code, bucket_of(_dealt_by(code), buckets))
             codes: dict[bytes, int] = {}
             tokens, lengths = [], []
             for x in texts:
@@ -239,46 +314,56 @@ def _segments(docs: DataFrame, key: str, text: str, tree, hot, buckets: int) ->
                 tokens.append(np.fromiter((codes.setdefault(t, len(codes)) for t in w), np.int32, len(w)))
             token, doc = np.concatenate(tokens), np.repeat(np.arange(b - a, dtype=np.int32), lengths)
             keys = word_keys(list(codes))
-            place = table.find(keys)
-            value = np.where(place >= 0, values[np.maximum(place, 0)], 0) if len(values) else np.zeros(len(keys))
+            place = words.find(keys)
+            value = np.where(place >= 0, word_value[np.maximum(place, 0)], 0) if len(word_value) else np.zeros(len(keys))
             known = (place >= 0)[token]
-            cold = ~known
-            pair, times = np.unique(doc[cold].astype(np.int64) * len(keys) + token[cold], return_counts=True)
-            asked, of = keys[pair % len(keys)], pair // len(keys)
-            bucket = (mix(mix(asked)) >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            requests = [{"bucket": int(k), "docs": of[at].astype("<u4").tobytes(), "words": asked[at].tobytes(), "times": times[at].astype("<u4").tobytes()} for k in np.flatnonzero(np.diff(cuts)) for at in (order[cuts[k] : cuts[k + 1]],)]
+            asked = keys[token[~known]]
+            requests += _requests(_WORDS, doc[~known], asked, bucket_of(asked, buckets))
             one = lambda x, t: pa.array([x], pa.list_(t))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([uuid.uuid4().hex]), one(batch.column(0).slice(a, b - a).to_pylist(), batch.schema.field(0).type), one(batch.column(2).slice(a, b - a).to_pylist(), pa.bool_()),
                     one(lengths, pa.int64()), one([len(x) for x in texts], pa.int64()), one(np.bincount(doc[known], minlength=b - a), pa.int64()), one(np.bincount(doc, value[token] * known, b - a), pa.float64()), one(score, pa.float64()),
-                    pa.array([requests], pa.list_(pa.struct([("bucket", pa.int32()), ("docs", pa.binary()), ("words", pa.binary()), ("times", pa.binary())]))),
+                    pa.array([requests], _REQUESTS),
                 ],
-                names=["segment", "keys", "held_out", "n_tokens", "n_bytes", "n_known", "hot", "score", "requests"],
+                names=["segment", "keys", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score", "requests"],
             )
 
     return map_arrow(docs.select(key, text, "_held_out"), run, _SEGMENT.format(kind=kind))
 
 
-def _answer(words: pa.Table, asked: pa.Table) -> pa.Table:
-    """Sums over one bucket's requested words, by segment and document."""
-    keys = np.frombuffer(b"".join(words.column("keys").to_pylist()), "<u8")  # one row, ascending
-    counts = np.frombuffer(b"".join(words.column("counts").to_pylist()), "<i8")
-    segments, docs, sums, known = [], [], [], []
-    for segment, of, want, times in zip(*(asked.column(c).to_pylist() for c in ("segment", "docs", "words", "times")), strict=True):
-        want, of, times = np.frombuffer(want, "<u8"), np.frombuffer(of, "<u4"), np.frombuffer(times, "<u4")
-        c = np.zeros(len(want))
-        if len(keys):
-            place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            c = np.where(keys[place] == want, counts[place], 0)
-        doc, where = np.unique(of, return_inverse=True)
-        segments.append(segment)
-        docs.append(doc.astype("<u4").tobytes())
-        sums.append(np.bincount(where, np.log10(c + 0.1) * times, len(doc)).tobytes())
-        known.append(np.bincount(where, (c > 0) * times, len(doc)).astype("<i8").tobytes())
-    return pa.table({"segment": pa.array(segments, pa.string()), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary()), "known": pa.array(known, pa.binary())})
+_ANSWER = "segment string, kind int, docs binary, sums binary, known binary"
+
+
+def _answer(upper, depth: int):
+    """What one bucket answers: sums over requested words or n-grams, by segment and document."""
+
+    def run(counted: pa.Table, asked: pa.Table) -> pa.Table:
+        segments, kinds, docs, sums, known = [], [], [], [], []
+        if asked.num_rows:
+            kind = asked.column("kind")[0].as_py()
+            keys, counts = _unpack(counted.column("keys"), counted.column("counts")) if counted.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            deep = Subtree(keys, counts, depth) if kind == _NGRAMS else None
+            for segment, of, want, times in zip(*(asked.column(c).to_pylist() for c in ("segment", "docs", "asked", "times")), strict=True):
+                want, of, times = np.frombuffer(want, "<u8"), np.frombuffer(of, "<u4"), np.frombuffer(times, "<u4")
+                c = np.zeros(len(want))
+                if kind == _NGRAMS:
+                    distinct, at = np.unique(want, return_inverse=True)
+                    value = upper.value.log10(distinct, deep)[at]
+                else:
+                    if len(keys):
+                        place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                        c = np.where(keys[place] == want, counts[place], 0)
+                    value = np.log10(c + 0.1)
+                doc, where = np.unique(of, return_inverse=True)
+                segments.append(segment)
+                kinds.append(kind)
+                docs.append(doc.astype("<u4").tobytes())
+                sums.append(np.bincount(where, value * times, len(doc)).tobytes())
+                known.append(np.bincount(where, (c > 0) * times, len(doc)).astype("<i8").tobytes())
+        return pa.table({"segment": pa.array(segments, pa.string()), "kind": pa.array(kinds, pa.int32()), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary()), "known": pa.array(known, pa.binary())})
+
+    return run
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, folds: int = 10) -> DataFrame:
@@ -287,41 +372,33 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     Columns: ``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score``, ``bits_per_byte`` (of the text and its end).
     """
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    sc, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString()
     rows = docs.select(key, text, held_out(F.col(key), folds).alias("_held_out"))
     buckets = bucket_count(docs)
     counted, _ = settle(count_corpus(rows, ~F.col("_held_out"), text, depth, buckets), "counts")
-    words = counted.where(F.col("kind") == _WORDS)
-    row = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    n, v = int(row[0]), int(row[1])
+    sizes = {r["kind"]: (int(r["n"]), int(r["v"])) for r in counted.groupBy("kind").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).collect()}
+    (n, v), (n_grams, _) = (sizes.get(k, (0, 0)) for k in (_WORDS, _NGRAMS))
     scale = float(np.log10(n + 0.1 * (v + 1)))
-
-    def frequent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")
-        counts = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
-        often = counts >= max(1, n >> HOT_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["word", "n"])
-
-    often = map_arrow(words.select("keys", "counts"), frequent, "word bigint, n bigint").toArrow()
-    table = HashArray(np.ascontiguousarray(often.column(0).to_numpy()).view(np.uint64))
-    hot = spark.sparkContext.broadcast((table, np.log10(often.column(1).to_numpy() + 0.1)[table.order]))
-    tree = spark.sparkContext.broadcast(train_tree(counted, depth))
-    segments, _ = settle(_segments(rows, key, text, tree, hot, buckets), "scored")
-    tree.unpersist()
-    hot.unpersist()
+    upper = sc.broadcast(upper_levels(counted.where(F.col("kind") == _NGRAMS), depth))
+    hot_words = sc.broadcast(_table(_frequent(counted, _WORDS, max(1, n >> HOT_BITS), "value", lambda keys, counts, often: np.log10(counts[often] + 0.1))))
+    hot_grams = sc.broadcast(_table(_frequent(counted, _NGRAMS, max(1, n_grams >> HOT_BITS), "value", lambda keys, counts, often: upper.value.log10(keys[often], Subtree(keys, counts, depth)))))
+    segments, _ = settle(_segments(rows, key, text, depth, hot_words, hot_grams, buckets), "scored")
+    hot_words.unpersist()
+    hot_grams.unpersist()
     asked = segments.select("segment", F.explode("requests").alias("r")).select("segment", "r.*")
-    replies = words.select("bucket", "keys", "counts").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answer, "segment string, docs binary, sums binary, known binary")
+    replies = counted.select("kind", "bucket", "keys", "counts").groupBy("kind", "bucket").cogroup(asked.groupBy("kind", "bucket")).applyInArrow(_answer(upper, depth), _ANSWER)
 
     def finish(own: pa.Table, got: pa.Table) -> pa.Table:
-        flat = {c: own.column(c).combine_chunks().flatten() if own.num_rows else None for c in ("keys", "held_out", "n_tokens", "n_bytes", "n_known", "hot", "score")}
+        flat = {c: own.column(c).combine_chunks().flatten() if own.num_rows else None for c in ("keys", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score")}
         size = len(flat["keys"])
-        base, known = np.array(flat["hot"].to_numpy()), np.array(flat["n_known"].to_numpy())
-        for of, sums, k in zip(*(got.column(c).to_pylist() for c in ("docs", "sums", "known")), strict=True):
+        base, known, whole = (np.array(flat[c].to_numpy()) for c in ("base", "n_known", "score"))
+        # Sums are added in a fixed order, so that a score does not depend on how replies arrive.
+        for kind, of, sums, times in sorted(zip(*(got.column(c).to_pylist() for c in ("kind", "docs", "sums", "known")), strict=True)):
             of = np.frombuffer(of, "<u4")
-            base[of] += np.frombuffer(sums, "<f8")
-            known[of] += np.frombuffer(k, "<i8")
-        tokens, score_ = flat["n_tokens"].to_numpy(), flat["score"].to_numpy()
-        return pa.table({key: flat["keys"], "held_out": flat["held_out"], "n_tokens": flat["n_tokens"], "n_known": pa.array(known), "train_tokens": pa.array(np.full(size, n, np.int64)), "base_score": pa.array(base - tokens * scale), "score": flat["score"], "bits_per_byte": pa.array(-score_ / np.log10(2) / (flat["n_bytes"].to_numpy() + 1))})
+            (base if kind == _WORDS else whole)[of] += np.frombuffer(sums, "<f8")
+            known[of] += np.frombuffer(times, "<i8")
+        tokens = flat["n_tokens"].to_numpy()
+        return pa.table({key: flat["keys"], "held_out": flat["held_out"], "n_tokens": flat["n_tokens"], "n_known": pa.array(known), "train_tokens": pa.array(np.full(size, n, np.int64)), "base_score": pa.array(base - tokens * scale), "score": pa.array(whole), "bits_per_byte": pa.array(-whole / np.log10(2) / (flat["n_bytes"].to_numpy() + 1))})
 
     own = segments.drop("requests")
     return own.groupBy("segment").cogroup(replies.groupBy("segment")).applyInArrow(finish, f"{key} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")

@@ -117,9 +117,14 @@ def total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first)
 
 
-def packed(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``kind, bucket, keys, counts`` of one count table, dealt by the hash of the key."""
-    bucket = (mix(mix(keys)) >> np.uint64(33)).astype(np.int64) % buckets
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Number of the bucket that a key is dealt to."""
+    return (mix(mix(keys)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def packed(kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int, dealt_by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows ``kind, bucket, keys, counts`` of one count table, dealt by the hash of the key or of ``dealt_by``."""
+    bucket = bucket_of(keys if dealt_by is None else dealt_by, buckets)
     order = np.argsort(bucket, kind="stable")
     keys, counts = keys[order], counts[order]
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))

@@ -65,23 +65,18 @@ def license_scan() -> str:
     weights = ", ".join(f"({k}, '{name}', '{t}', {real(w)})" for k, name, t, w in rows)
     idfs = ", ".join(f"('{t}', {real(w)})" for t, w in sorted(idf.items()))
     stops = ", ".join(f"'{w}'" for w in licenses.STOP_WORDS)
-
-    def best(units: str) -> str:
-        """Best template of each unit ``rid, unit_id, unit``."""
-        return f"""SELECT rid, unit_id, arg_min(license, (-score, license)) AS license, max(score) AS score FROM (
-            SELECT rid, unit_id, template, license, round(sum(v * w) / any_value(norm), 9) AS score FROM (
-                SELECT rid, unit_id, term, v, sqrt(sum(v * v) OVER (PARTITION BY rid, unit_id)) AS norm FROM (
-                    SELECT rid, unit_id, t.term, count(*) * coalesce(any_value(i.idf), {real(unknown)}) AS v FROM (SELECT rid, unit_id, unnest(regexp_extract_all(lower(unit), '{licenses._TERM}')) AS term FROM ({units})) t LEFT JOIN idfs i ON i.term = t.term WHERE t.term NOT IN ({stops}) GROUP BY 1, 2, 3))
-            JOIN weights USING (term) GROUP BY rid, unit_id, template, license HAVING count(*) >= {licenses.SHARED}) WHERE score >= {licenses.THRESHOLD} GROUP BY rid, unit_id"""
-
+    blocks = " UNION ALL ".join(f"SELECT rid, unnest(list_transform(range(1, len(l) - {w} + 2), lambda i: array_to_string(list_slice(l, i, i + {w - 1}), chr(10)))) AS unit FROM l" for w in licenses.BLOCKS)
     return f"""
 WITH weights(template, license, term, w) AS (VALUES {weights}), idfs(term, idf) AS (VALUES {idfs}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', coalesce(source, ''), concat_ws('/', coalesce(lang, ''), coalesce(CAST(doc_id AS VARCHAR), ''))) AS path, text AS t FROM documents),
-lines AS ({best("SELECT rid, generate_subscripts(l, 1) AS unit_id, unnest(l) AS unit FROM (SELECT rid, string_split(t, chr(10)) AS l FROM d WHERE t IS NOT NULL)")}),
-heads AS (SELECT rid, arg_min(license, (-score, license)) AS h_license, max(score) AS h_score FROM lines GROUP BY rid),
-wholes AS ({best("SELECT rid, 0 AS unit_id, t AS unit FROM d WHERE t IS NOT NULL")}),
-own AS (SELECT d.rid, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, CASE WHEN coalesce(w.score, 0) >= coalesce(h_score, 0) THEN w.license ELSE h_license END AS own_license, greatest(w.score, h_score) AS own_score,
-    (regexp_matches(path, {_quote(licenses.LICENSE_FILE)}) AND coalesce(w.license, h_license) IS NOT NULL) OR w.license IS NOT NULL AS is_license_file FROM d LEFT JOIN heads USING (rid) LEFT JOIN wholes w USING (rid)),
+l AS (SELECT rid, string_split(t, chr(10)) AS l FROM d WHERE t IS NOT NULL),
+units AS (SELECT row_number() OVER () AS uid, rid, unit FROM ({blocks} UNION ALL SELECT rid, t FROM d JOIN l USING (rid))),
+terms AS (SELECT uid, rid, term, count(*) AS n FROM (SELECT uid, rid, unnest(regexp_extract_all(lower(unit), '{licenses._TERM}')) AS term FROM units) WHERE term NOT IN ({stops}) AND NOT regexp_matches(term, '{licenses._YEAR}') GROUP BY ALL),
+valued AS (SELECT uid, rid, term, n * coalesce(idf, {real(unknown)}) AS v FROM terms LEFT JOIN idfs USING (term)),
+norms AS (SELECT uid, sqrt(sum(v * v)) AS norm FROM valued GROUP BY uid),
+cosines AS (SELECT valued.uid, rid, template, license, round(sum(v * w) / any_value(norm), 9) AS score FROM valued JOIN weights USING (term) JOIN norms ON norms.uid = valued.uid GROUP BY valued.uid, rid, template, license HAVING count(*) >= {licenses.SHARED}),
+best AS (SELECT rid, arg_min(license, (-score, license)) AS own_license, max(score) AS own_score FROM cosines WHERE score >= {licenses.THRESHOLD} GROUP BY rid),
+own AS (SELECT d.rid, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, own_license, own_score, regexp_matches(path, {_quote(licenses.LICENSE_FILE)}) AND own_license IS NOT NULL AS is_license_file FROM d LEFT JOIN best USING (rid)),
 speaks AS (SELECT dir AS above, arg_min(own_license, (-own_score, own_license)) AS of_dir FROM own WHERE is_license_file GROUP BY dir),
 asking AS (SELECT dir, n AS depth, array_to_string(list_slice(string_split(dir, '/'), 1, n), '/') AS above FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS n FROM (SELECT DISTINCT dir FROM own))),
 nearest AS (SELECT dir, arg_max(of_dir, depth) AS inherited_license FROM asking JOIN speaks USING (above) GROUP BY dir)

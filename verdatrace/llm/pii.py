@@ -5,7 +5,9 @@ number ranges).  A valid value is an integer below the size of its format's
 domain; a keyed Feistel network permutes the domain (walking the cycle until
 the result is inside), and the result is written in the very format of the
 original: digits for digits, letters for letters of the same case, separators
-where they were, checksums made good again.  The permutation depends on the key
+where they were, checksums made good again.  Dates written with fewer digits, or
+with the month first, are permuted among those written alike, so every format
+can be undone.  The permutation depends on the key
 and the format alone, so equal values get equal pseudonyms in all documents,
 different values different ones, and the holder of the key can undo them.
 
@@ -17,15 +19,19 @@ Nulls, empties and the rest: null and empty texts stay as they are; values that
 fail validation stay; a card or IBAN may be followed by further groups (an
 expiry date, a CVV, a BIC), so where the longest run fails, shorter ones from
 the same start are tried to the end of each group; where candidates overlap, the leftmost and there the first
-listed is taken; repeated rows are treated alike; extra columns pass through (one named like
+listed is taken; a null key or any other column is not looked at; very long texts are
+walked once; repeated rows are treated alike; extra columns pass through (one named like
 ``spans`` is replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from calendar import isleap, monthrange
 from collections.abc import Callable, Iterator
-from datetime import date
+from datetime import MAXYEAR, MINYEAR
+from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -37,7 +43,10 @@ from verdatrace.llm.common import map_arrow, texts_of, with_fields
 DEMO_KEY = b"verdatrace demonstration key"
 ROUNDS = 10
 
-_FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: Years whose dates are permuted among themselves; those of all others are likewise.
+COMMON_YEARS = range(1900, 2100)
+# Country calling codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 class Permutation:
@@ -181,9 +190,12 @@ def _phone(text: str, walk: Walk) -> str | None:
     digits = re.sub(r"\D", "", text)
     if not 7 <= len(digits) <= 15:
         return None
-    # A country code before a separator stays; equal numbers stay linked however they are punctuated.
-    code = m[1] if (m := re.match(r"\+?(\d{1,3})[ .(-]", text)) and (text[0] == "+" or "(" in text[: m.end() + 1]) else ""
-    rest = digits[len(code) :]
+    # A country code stays, whatever stands between it and the rest; so a number stays linked however it is punctuated.
+    if text[0] == "+":
+        size = 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+    else:
+        size = len(re.sub(r"\D", "", text[: text.find("(")])) if "(" in text else 0
+    code, rest = digits[:size], digits[size:]
     return _refill(text, code + f"{walk(f'phone:{len(rest)}', 10 ** len(rest), int(rest)):0{len(rest)}d}")
 
 
@@ -198,28 +210,64 @@ def _ssn(text: str, walk: Walk) -> str | None:
     return f"{place + 1 + (place >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-def _day(year: int, month: int, day: int) -> int | None:
-    try:
-        n = date(year, month, day).toordinal()
-    except ValueError:
-        return None
-    return n if _FIRST_DAY <= n <= _LAST_DAY else None
+@cache
+def _years(common: bool) -> tuple[list[int], list[int]]:
+    """The years of a domain, and the leap years among them."""
+    years = [y for y in range(MINYEAR, MAXYEAR + 1) if (y in COMMON_YEARS) == common]
+    return years, [y for y in years if isleap(y)]
+
+
+@cache
+def _days(first: int, second: int, month_first: bool) -> list[tuple[int, int]]:
+    """Month and day of all dates of a common year that can be written with so many digits.
+
+    Dates are read day first where that is a date, so month first are only those
+    whose day is above twelve; either kind is permuted among its own.
+    """
+    fits = lambda value, digits: value < 10 or digits == 2
+    every = [(m, d) for m in range(1, 13) for d in range(1, monthrange(2001, m)[1] + 1)]
+    if month_first:
+        return [(m, d) for m, d in every if d > 12 and fits(m, first) and second == 2]
+    return [(m, d) for m, d in every if fits(d, first) and fits(m, second)]
+
+
+def _moved(year: int, month: int, day: int, first: int, second: int, month_first: bool, walk: Walk) -> tuple[int, int, int]:
+    """The date that stands for a date among those that are written alike."""
+    days, (years, leaps) = _days(first, second, month_first), _years(year in COMMON_YEARS)
+    # The leap days, where they can be written, come after all other dates.
+    odd = leaps if (first == 2 and not month_first) or (month_first and second == 2) else []
+    size = len(days) * len(years) + len(odd)
+    at = len(days) * len(years) + bisect_left(odd, year) if (month, day) == (2, 29) else bisect_left(years, year) * len(days) + bisect_left(days, (month, day))
+    # ISO dates and day-first ones of full width share a domain, so they stay linked.
+    name = f"date:{years[0]}" + ("" if (first, second, month_first) == (2, 2, False) else f":{first}{second}{'m' if month_first else 'd'}")
+    at = walk(name, size, at)
+    if at >= len(days) * len(years):
+        return odd[at - len(days) * len(years)], 2, 29
+    return years[at // len(days)], *days[at % len(days)]
+
+
+def _valid(year: int, month: int, day: int) -> bool:
+    return MINYEAR <= year <= MAXYEAR and 1 <= month <= 12 and 1 <= day <= monthrange(year, month)[1]
 
 
 def _iso(text: str, walk: Walk) -> str | None:
-    n = _day(*(int(x) for x in text.split("-")))
-    return None if n is None else date.fromordinal(_FIRST_DAY + walk("date", _LAST_DAY - _FIRST_DAY + 1, n - _FIRST_DAY)).isoformat()
+    year, month, day = (int(x) for x in text.split("-"))
+    if not _valid(year, month, day):
+        return None
+    year, month, day = _moved(year, month, day, 2, 2, False, walk)
+    return f"{year:04d}-{month:02d}-{day:02d}"
 
 
 def _dmy(text: str, walk: Walk) -> str | None:
-    day, month, year = (int(x) for x in re.split(r"[./]", text))
-    n = _day(year, month, day)
-    swap = n is None and (n := _day(year, day, month)) is not None  # month first, where only that is a date
-    if n is None:
-        return None
-    d, c = date.fromordinal(_FIRST_DAY + walk("date", _LAST_DAY - _FIRST_DAY + 1, n - _FIRST_DAY)), "." if "." in text else "/"
-    first, second = (d.month, d.day) if swap else (d.day, d.month)
-    return f"{first:02d}{c}{second:02d}{c}{d.year}"
+    a, b, c = re.split(r"[./]", text)
+    day, month, year, month_first = int(a), int(b), int(c), False
+    if not _valid(year, month, day):
+        day, month, month_first = month, day, True  # month first, where only that is a date
+        if not _valid(year, month, day):
+            return None
+    year, month, day = _moved(year, month, day, len(a), len(b), month_first, walk)
+    first, second = (month, day) if month_first else (day, month)
+    return f"{first:0{len(a)}d}{text[len(a)]}{second:0{len(b)}d}{text[len(a)]}{year:04d}"
 
 
 #: Kinds in the order in which they are tried at a place.

@@ -13,15 +13,17 @@ value in a third of all rows costs as many rows as it has owners.
 
 Nulls, empties and the rest: a null text has no spans; null owners and
 repositories count as one more owner or repository; rows with null or repeated
-keys are reported one by one; an empty table gives an empty table.
+keys are reported one by one; a text of any length and number of matches is
+walked in order; spans that begin together are listed by kind; columns that
+clash with names used here are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import settle
+from verdatrace.llm.common import join_keyed, settle
 
 # The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,29 +37,20 @@ KINDS = ("assign", "access", "hex", "token")
 #: Owners from which on a value is a copied example.
 EXAMPLE_OWNERS = 3
 
-_SPAN = "array<struct<start: bigint, rank: int, end: bigint, value: string>>"
 
-
-def spans(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches as (start, rank, end, value), places in code points.
+def matches(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches in order: (rank, pos, gap, size, value); ``gap`` are the code points since the match before.
 
     The pieces between the matches and the matches themselves alternate, so
-    running sums of their lengths are the places.
+    running sums of their lengths are the places (:func:`placed`).
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
-    steps = F.transform(F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda x: F.struct(F.char_length(x["g"]).cast("bigint").alias("gap"), F.char_length(x["m"]).cast("bigint").alias("size"), x["v"].alias("value")))
-    empty = F.array().cast(_SPAN)
-
-    def walk(a: Column, x: Column) -> Column:
-        start, end = a["at"] + x["gap"], a["at"] + x["gap"] + x["size"]
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(a["out"], one).cast(_SPAN).alias("out"))
-
-    walked = F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), walk, lambda a: a["out"])
+    pieces = F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
+    steps = F.transform(pieces, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.char_length(x["g"]).cast("bigint").alias("gap"), F.char_length(x["m"]).cast("bigint").alias("size"), x["v"].alias("value")))
     # Most texts have no match at all; those take one look.
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    return F.when(text.rlike(pattern), steps).otherwise(F.array().cast("array<struct<rank: int, pos: int, gap: bigint, size: bigint, value: string>>"))
 
 
 def _written(items: Column) -> Column:
@@ -67,23 +60,35 @@ def _written(items: Column) -> Column:
 
 
 def candidates(docs: DataFrame, key: Column, text: Column, owner: Column, repo: Column) -> DataFrame:
-    """``row``, ``key``, ``owner``, ``repo``, and the spans of all kinds as arrays."""
+    """``row``, ``key``, ``owner``, ``repo``, and the matches of all patterns as ``hits``."""
     whole = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("t"), owner.alias("owner"), repo.alias("repo"))
-    found = whole.select(
-        F.monotonically_increasing_id().alias("row"), "key", "owner", "repo",
-        F.filter(spans(F.col("t"), ASSIGN, 0, 2), lambda s: F.char_length(s["value"]) >= 8).alias("assign"),
-        spans(F.col("t"), _ACCESS_LONG, 1).alias("access"),
-        spans(F.col("t"), _HEX_LONG, 2).alias("hex"),
-        F.filter(spans(F.col("t"), TOKEN, 3), lambda s: s["value"].rlike("[0-9].*[0-9].*[0-9].*[0-9]") & s["value"].rlike("[A-Za-z]")).alias("tokens"),
-    )
-    base = F.concat("assign", "access", "hex")
-    return found.withColumn("base", base).withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
-
-
-def ownership(found: DataFrame) -> DataFrame:
+    t = F.col("t")
+    hits = F.concat(matches(t, ASSIGN, 0, 2), matches(t, _ACCESS_LONG, 1), matches(t, _HEX_LONG, 2), matches(t, TOKEN, 3))
+    return whole.select(F.monotonically_increasing_id().alias("row"), "key", "owner", "repo", hits.alias("hits"))
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """One row a candidate: ``row``, ``owner``, ``repo``, ``rank``, ``start``, ``end``, ``value``; places in code points, end exclusive.
+
+    Places are running sums within a document and kind.  A token counts only
+    outside all base spans: neither does one that begins before it reach into it,
+    nor does the next one begin within it.
+    """
+    each = found.select("row", "owner", "repo", F.explode("hits").alias("h")).select("row", "owner", "repo", "h.*").repartition("row")
+    so_far = Window.partitionBy("row", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))
+    value, base = F.col("value"), F.col("rank") < 3
+    each = each.where((F.col("rank").isin(1, 2)) | ((F.col("rank") == 0) & (F.char_length(value) >= 8)) | ((F.col("rank") == 3) & value.rlike("[0-9].*[0-9].*[0-9].*[0-9]") & value.rlike("[A-Za-z]")))
+    order = Window.partitionBy("row").orderBy("start", "rank")
+    each = each.withColumn("reach", F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    free = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("next"), F.col("end")) >= F.col("end"))
+    return each.where(base | free).select("row", "owner", "repo", "rank", "start", "end", "value", F.xxhash64("value").alias("value_hash"))
+
+
+def ownership(each: DataFrame) -> DataFrame:
     """``value_hash``, ``n_owners`` and ``n_repos`` of every candidate value of the corpus."""
-    each = found.select("owner", "repo", F.explode(F.concat("base", "tokens")).alias("s")).select(F.xxhash64("s.value").alias("value_hash"), F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"))
-    pairs = each.groupBy("value_hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count("*").alias("repos"))
+    named = each.select("value_hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"))
+    pairs = named.groupBy("value_hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count("*").alias("repos"))
     return pairs.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
@@ -97,21 +102,22 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: Column
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     found, _ = settle(candidates(docs, F.col(key), F.col(text), owner.cast("string"), repo.cast("string")), "secrets")
-    each = found.where((F.size("base") > 0) | (F.size("tokens") > 0)).select("row", F.explode(F.concat("base", "tokens")).alias("s")).withColumn("value_hash", F.xxhash64("s.value"))
-    judged = each.join(ownership(found), "value_hash").groupBy("row").agg(
-        F.collect_list(F.when((F.col("s.rank") == 3) & (F.col("n_owners") == 1), F.col("s"))).alias("added"),
-        F.count_if((F.col("n_owners") == 1)).alias("n_live"),
+    each, _ = settle(placed(found.where(F.size("hits") > 0)), "candidates")
+    span, rank, alone = F.struct("start", "rank", "end"), F.col("rank"), F.col("n_owners") == 1
+    judged = join_keyed(each, ownership(each), "value_hash").groupBy("row").agg(
+        *(F.count_if(rank == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        F.collect_list(F.when(rank < 3, span)).alias("base"),
+        F.collect_list(F.when((rank < 3) | alone, span)).alias("every"),
+        F.count_if((rank == 3) & alone).alias("n_token"),
+        F.count_if(alone).alias("n_live"),
         F.count_if(F.col("n_owners") >= EXAMPLE_OWNERS).alias("n_example"),
     )
-    added = F.coalesce("added", F.array().cast(_SPAN))
-    return found.join(judged, "row", "left").select(
+    none = F.array().cast("array<struct<start: bigint, rank: int, end: bigint>>")
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.select("row", "key").join(judged, "row", "left").select(
         F.col("key").alias(key),
-        F.size("assign").cast("bigint").alias("n_assign"),
-        F.size("access").cast("bigint").alias("n_access"),
-        F.size("hex").cast("bigint").alias("n_hex"),
-        F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        _written(F.concat("base", added)).alias("spans"),
-        F.size(added).cast("bigint").alias("n_token"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        *(number(f"n_{k}") for k in KINDS[:3]),
+        F.sha2(_written(F.coalesce("base", none)).cast("binary"), 256).alias("base_sha256"),
+        _written(F.coalesce("every", none)).alias("spans"),
+        *(number(c) for c in ("n_token", "n_live", "n_example")),
     )

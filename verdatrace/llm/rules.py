@@ -46,9 +46,9 @@ ORDER = 5
 #: An n-gram is broadcast with a 2 ** HOT_BITS-th of all occurrences.
 HOT_BITS = 21
 #: Spreads below and above the median of a language at which a text is rejected.
-SPREADS = 20.0
+SPREADS = 12.0
 #: Least spread in bits per byte, for languages whose texts are all alike.
-LEAST_SPREAD = 0.02
+LEAST_SPREAD = 0.01
 #: Steps of a bit in which bits per byte are counted for the limits.
 STEPS = 1024
 

@@ -48,7 +48,7 @@ from verdatrace.llm.quality import held_out
 #: Preceding bytes that a prediction looks at; two at least.
 DEPTH = 5
 #: A word or an n-gram is broadcast with a 2 ** HOT_BITS-th of all.
-HOT_BITS = 20
+HOT_BITS = 22
 #: Bytes of text of a segment, whose lookups travel together.
 SEGMENT_BYTES = 4 << 20
 #: The token that ends every text; no word has white space.

@@ -44,7 +44,7 @@ from verdatrace.llm.ngrams import Counts, HashArray, windows
 #: Order of the model, in bytes.
 ORDER = 5
 #: An n-gram is broadcast with a 2 ** HOT_BITS-th of all occurrences.
-HOT_BITS = 21
+HOT_BITS = 22
 #: Spreads below and above the median of a language at which a text is rejected.
 SPREADS = 12.0
 #: Least spread in bits per byte, for languages whose texts are all alike.

@@ -34,11 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Every edge once, from its lesser end: the greater end moves to the least neighbour of the lesser.
         up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large, large_path = settle(join_keyed(up, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        large = join_keyed(up, least, "u", total=before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_keyed(large, lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = join_keyed(large, lower, "u", total=before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         made, made_path = settle(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        drop_path(spark, large_path)
         after = _signature(made)
         drop_path(spark, path)
         edges, path = made, made_path

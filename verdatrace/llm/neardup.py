@@ -206,9 +206,9 @@ def _unpacked(data: bytes) -> list:
 _SHARDED = "shard bigint, fp bigint, resident boolean, above bigint"
 
 
-def _cut(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """``rows`` of the shards in ``large`` (``shard``, ``n``), dealt to smaller shards by a tree for each."""
-    near = F.broadcast(large) if large.count() <= TREES else large
+def _cut(rows: DataFrame, large: DataFrame, count: int) -> DataFrame:
+    """``rows`` of the ``count`` shards in ``large`` (``shard``, ``n``), dealt to smaller shards by a tree for each."""
+    near = F.broadcast(large) if count <= TREES else large
     # About SAMPLE rows of each shard, chosen by a hash of the fingerprint.
     picked = rows.join(near, "shard").where(F.pmod(F.xxhash64("fp", "shard"), F.lit(1 << 30)).cast("double") * F.col("n") <= float(SAMPLE << 30)).select("shard", "fp", "n")
 
@@ -218,8 +218,9 @@ def _cut(rows: DataFrame, large: DataFrame) -> DataFrame:
         tree = upper_tree(fp, min(LEVELS, max(1, math.ceil(math.log2(max(2, n) / SHARD_NODES)))))
         return pa.table({"shard": table.column("shard")[:1], "n": table.column("n")[:1], "tree": pa.array([_packed(tree)], pa.binary())})
 
-    trees, _ = settle(picked.groupBy("shard").applyInArrow(fit, "shard bigint, n bigint, tree binary"), "trees")
-    blocks, out = -(-trees.count() // TREES), []
+    trees = picked.groupBy("shard").applyInArrow(fit, "shard bigint, n bigint, tree binary")
+    blocks, out = -(-count // TREES), []
+    trees = settle(trees, "trees")[0] if blocks > 1 else trees
     for block in range(blocks):
         held = {r["shard"]: (r["n"], r["tree"]) for r in trees.where(F.pmod(F.xxhash64("shard"), F.lit(blocks)) == block).collect()}
         shared = rows.sparkSession.sparkContext.broadcast(held)
@@ -245,17 +246,19 @@ def _cut(rows: DataFrame, large: DataFrame) -> DataFrame:
 
 def shards(nodes: DataFrame, count: int) -> DataFrame:
     """All fingerprints dealt to shards, with copies where links may reach: ``shard``, ``fp``, ``resident``."""
-    rows = nodes.select(F.lit(0).cast("bigint").alias("shard"), "fp", F.lit(True).alias("resident"), F.lit(2 * count).cast("bigint").alias("above"))
-    limit, done = SHARD_NODES, []
+    rows = nodes.select(F.lit(0).cast("bigint").alias("shard"), "fp", F.lit(True).alias("resident"))
+    if count <= SHARD_NODES:
+        return rows
+    rows, done = settle(_cut(rows, rows.sparkSession.createDataFrame([(0, count)], "shard bigint, n bigint"), 1), "shards")[0], []
     while True:
         # A shard that cutting has not made smaller by a fifth stays as it is.
-        large, _ = settle(rows.groupBy("shard").agg(F.count("*").alias("n"), F.max("above").alias("above")).where((F.col("n") > limit) & (5 * F.col("n") < 4 * F.col("above"))).select("shard", "n"), "large")
-        if large.isEmpty():
+        large = rows.groupBy("shard").agg(F.count("*").alias("n"), F.max("above").alias("above")).where((F.col("n") > LARGE * SHARD_NODES) & (5 * F.col("n") < 4 * F.col("above"))).select("shard", "n")
+        large, _ = settle(large, "large")
+        if not (size := large.count()):
             break
-        side = F.broadcast(large.select("shard")) if large.count() <= HOT_SHARDS else large.select("shard")
+        side = F.broadcast(large.select("shard")) if size <= HOT_SHARDS else large.select("shard")
         done.append(rows.join(side, "shard", "left_anti"))
-        rows, _ = settle(_cut(rows.join(side, "shard", "left_semi"), large), "shards")
-        limit = LARGE * SHARD_NODES
+        rows, _ = settle(_cut(rows.join(side, "shard", "left_semi"), large, size), "shards")
     for part in done:
         rows = rows.unionByName(part)
     return rows.select("shard", "fp", "resident")
@@ -283,14 +286,15 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     prints, _ = settle(fingerprints(rows, "own", "t"), "prints")
     # The least key is first; where all are null, the least hash.
     nodes, _ = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("own.key").isNull().alias("none"), "own")).alias("first")), "nodes")
-    edges, path = settle(links(nodes, nodes.count()), "links")
+    count = nodes.count()
+    edges, path = settle(links(nodes, count), "links")
     joined = components(edges)
     drop_path(spark, path)
     # A root has no row of its own in `joined`; it names itself.
     members = joined.unionAll(joined.select(F.col("root").alias("node"), "root").distinct())
     named, _ = settle(members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "first"), "members")
-    named = join_keyed(named.drop("first"), named.groupBy("root").agg(F.min("first").alias("name")), "root")
-    of_node, _ = settle(nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("name", "first").alias("name")), "named")
+    named = join_keyed(named.drop("first"), named.groupBy("root").agg(F.min("first").alias("name")), "root", total=count)
+    of_node = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("name", "first").alias("name"))
     return join_keyed(prints, of_node, "fp").select("own", "fp", F.col("name.own").alias("first"))
 
 

@@ -249,7 +249,7 @@ def test_year_pair_not_comparable(spark):
     pair = survey.compare_years(spark.createDataFrame([(2019, 40, 0.516, 0.3), (2020, 40, 0.642, 0.3)], cols)).first()
     assert not pair["comparable"] and "greener" in pair["notes"][0]
     gap = survey.compare_years(spark.createDataFrame([(2019, 0, None, None), (2020, 40, 0.6, 0.3)], cols)).first()
-    assert not gap["comparable"] and gap["notes"] == ["one of the years has no usable observations"]
+    assert not gap["comparable"] and gap["notes"] == ["coverage: no clear scene in one year"]
     assert survey.best_pair(survey.compare_years(spark.createDataFrame([(2019, 0, None, None), (2020, 40, 0.6, 0.3)], cols))).count() == 0
 
 

@@ -133,8 +133,8 @@ class Periods:
     def __post_init__(self) -> None:
         for name in self.__dataclass_fields__:
             object.__setattr__(self, name, _date(getattr(self, name)))
-        if not self.pre_start < self.pre_end < self.post_start < self.post_end:
-            raise ValueError("the windows must follow each other without overlap")
+        if not (self.pre_start < self.pre_end <= self.post_start < self.post_end):
+            raise ValueError("the windows must follow each other; they may share a day")
         if self.series_start > self.pre_start or self.series_end < self.post_end:
             raise ValueError("the series must span both windows")
 

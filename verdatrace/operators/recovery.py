@@ -29,13 +29,13 @@ def patch_means(obs: DataFrame, patch_pixels: DataFrame, value: str, patch_ids:
     made = joined.groupBy("patch_id", "acq_date", scene).agg(F.avg(value).alias("value"))
     if patch_ids is None:
         return made
-    every = patch_ids.select("patch_id").distinct().crossJoin(F.broadcast(obs.select("acq_date", scene).distinct()))
+    every = patch_ids.select("patch_id").distinct().crossJoin(obs.select("acq_date", scene).distinct())
     return every.join(made, ["patch_id", "acq_date", scene], "left")
 
 
 def anomaly(series: DataFrame, landscape: DataFrame, time: str = "scene_id") -> DataFrame:
     """Series less the landscape's level on the same acquisition."""
-    return series.join(F.broadcast(landscape.select(time, F.col("level").alias("_level"))), time).withColumn("value", F.col("value") - F.col("_level")).drop("_level")
+    return series.join(landscape.select(time, F.col("level").alias("_level")), time).withColumn("value", F.col("value") - F.col("_level")).drop("_level")
 
 
 def seasonalise(series: DataFrame, months: int = 3, min_observations: int = 1, keys=KEYS) -> DataFrame:

@@ -70,7 +70,7 @@ def anomaly_series(scene: Scene, clearing: ClearingMap, tiers: tuple[str, ...],
         tagged = tagged.join(reference, list(PIXEL), "left") if reference is not None else tagged.join(every, list(PIXEL), "left").withColumn("_ref", F.col("_in").isNull())
         level = tagged.groupBy("acq_date", "scene_id").agg(*(F.coalesce(median(F.col(t), F.coalesce("_ref", F.lit(False))), F.lit(0.0)).alias(f"_l_{t}") for t in tracks))
         means = tagged.where("patch_id IS NOT NULL").groupBy("patch_id", "acq_date", "scene_id").agg(*(F.avg(t).alias(t) for t in tracks))
-        both = means.join(F.broadcast(level), ["acq_date", "scene_id"]).select("patch_id", "acq_date", *((F.col(t) - F.col(f"_l_{t}")).alias(t) for t in tracks))
+        both = means.join(level, ["acq_date", "scene_id"]).select("patch_id", "acq_date", *((F.col(t) - F.col(f"_l_{t}")).alias(t) for t in tracks))
         long = both.unpivot(["patch_id", "acq_date"], tracks, "track", "value")
         out = long if out is None else out.unionByName(long)
     return out

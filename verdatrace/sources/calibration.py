@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdatrace.functions.indices import linear_to_db
@@ -43,17 +43,15 @@ def interpolate_lut(points: DataFrame, wanted: DataFrame) -> DataFrame:
     Look-up tables are a few thousand points a scene.  Each place meets the two
     bracketing lines and columns through equi-joins on their numbers.
     """
-    import bisect
-
-    axes = points.groupBy("scene_id").agg(F.array_sort(F.collect_set(F.struct("line", "line_ix"))).alias("lines"), F.array_sort(F.collect_set(F.struct("pixel", "pixel_ix"))).alias("pixels"))
-
-    @F.udf("lo int, hi int, w double")
-    def bracket(axis, at):
-        keys = [a[0] for a in axis]
-        k = min(max(bisect.bisect_right(keys, at) - 1, 0), max(len(keys) - 2, 0))
-        top = min(k + 1, len(keys) - 1)
-        w = 0.0 if top == k else min(1.0, max(0.0, (at - keys[k]) / (keys[top] - keys[k])))
-        return axis[k][1], axis[top][1], w
+    axes = points.groupBy("scene_id").agg(F.array_sort(F.collect_set(F.struct(F.col("line").alias("at"), F.col("line_ix").alias("ix")))).alias("lines"), F.array_sort(F.collect_set(F.struct(F.col("pixel").alias("at"), F.col("pixel_ix").alias("ix")))).alias("pixels"))
+
+    def bracket(axis: str, at: str) -> Column:
+        """Numbers of the two entries around a place, and the share of the upper one."""
+        below = F.size(F.filter(axis, lambda a: a["at"] <= F.col(at))) - 1
+        low = F.greatest(F.least(below, F.size(axis) - 2), F.lit(0))
+        lo, hi = F.get(axis, low), F.get(axis, F.least(low + 1, F.size(axis) - 1))
+        share = F.greatest(F.least((F.col(at) - lo["at"]) / F.nullif(hi["at"] - lo["at"], F.lit(0)), F.lit(1.0)), F.lit(0.0))
+        return F.struct(lo["ix"].alias("lo"), hi["ix"].alias("hi"), F.coalesce(share, F.lit(0.0)).alias("w"))
 
     placed = wanted.join(axes, "scene_id").select("scene_id", "line", "pixel", bracket("lines", "line").alias("l"), bracket("pixels", "pixel").alias("p"))
     corners = placed.select("scene_id", "line", "pixel", "l.w", F.col("p.w").alias("u"), F.explode(F.array(*(F.struct(F.col(f"l.{a}").alias("line_ix"), F.col(f"p.{b}").alias("pixel_ix"), ((F.col("l.w") if a == "hi" else 1 - F.col("l.w")) * (F.col("p.w") if b == "hi" else 1 - F.col("p.w"))).alias("k")) for a in ("lo", "hi") for b in ("lo", "hi")))).alias("q"))

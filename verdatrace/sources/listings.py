@@ -11,7 +11,6 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 # Forms of the scene names, the orbit cycle, offsets by mission, and days between repeats.
 OPTICAL_NAME = r"(S2[ABC])_(\d{2}[A-Z]{3})_(\d{8})_(\d+)_L2A"
@@ -74,24 +73,22 @@ def in_bands(hour: Column, bands: list[tuple[int, int]]) -> Column:
     return out
 
 
-@F.udf(BooleanType())
-def covers(footprint: str, lon: float, lat: float) -> bool | None:
-    """Whether a point lies in the outer rings of a GeoJSON footprint, by ray casting."""
-    import json
+def covers(footprint: Column | str, lon: Column, lat: Column) -> Column:
+    """Whether a point lies in the outer ring of any polygon of a GeoJSON footprint: an odd number of edges lies east of it."""
+    text = F.col(footprint) if isinstance(footprint, str) else footprint
+    shape = F.coalesce(F.get_json_object(text, "$.footprint"), F.get_json_object(text, "$.geometry"), text)
+    at, ring = F.get_json_object(shape, "$.coordinates"), "array<array<array<double>>>"
+    polygons = F.when(F.get_json_object(shape, "$.type") == "Polygon", F.array(F.from_json(at, ring))).otherwise(F.from_json(at, f"array<{ring}>"))
 
-    if footprint is None:
-        return None
-    shape = json.loads(footprint)
-    shape = shape.get("footprint", shape.get("geometry", shape))
-    polygons = [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"]
-    for rings in polygons:
-        ring, inside = rings[0], False
-        for (x1, y1, *_), (x2, y2, *_) in zip(ring, ring[1:], strict=False):
-            if (y1 > lat) != (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1:
-                inside = not inside
-        if inside:
-            return True
-    return False
+    def east(a: Column, b: Column) -> Column:
+        across = (a[1] > lat) != (b[1] > lat)
+        return across & (lon < (b[0] - a[0]) * (lat - a[1]) / F.nullif(b[1] - a[1], F.lit(0.0)) + a[0])
+
+    def inside(outer: Column) -> Column:
+        edges = F.zip_with(outer, F.slice(outer, F.lit(2), F.size(outer)), lambda a, b: F.when(b.isNotNull(), east(a, b)).otherwise(F.lit(False)))
+        return F.size(F.filter(edges, lambda x: x)) % 2 == 1
+
+    return F.when(text.isNotNull(), F.exists(polygons, lambda rings: inside(rings[0])))
 
 
 def seed_scenes(scenes: DataFrame, bands: list[tuple[int, int]], start: date, days: int = REPEAT_DAYS) -> DataFrame:
@@ -107,16 +104,17 @@ def repeat_passes(scenes: DataFrame, anchor: date, start: date, end: date, orbit
     return best.select("acq_date", *(f"b.{c}" for c in kept))
 
 
-# Public catalogues by name.
+# Public catalogues: name, address, optical and radar collection, whether addresses of assets must be signed, remarks.
 CATALOGUES = [
-    ("earth-search", "sentinel-2-l2a", "Sentinel-2 surface reflectance"),
-    ("planetary-computer", "sentinel-1-rtc", "Sentinel-1 terrain-corrected backscatter"),
-    ("dea", "ga_s2am_ard_3", "Sentinel-2 analysis-ready data, Australia"),
+    ("earth-search", "https://earth-search.aws.element84.com/v1", "sentinel-2-l2a", "sentinel-1-grd", False, "open to all; radar is detected in ground range, not corrected for terrain"),
+    ("planetary-computer", "https://planetarycomputer.microsoft.com/api/stac/v1", "sentinel-2-l2a", "sentinel-1-rtc", True, "radar is corrected for terrain, which hills need"),
+    ("cdse", "https://catalogue.dataspace.copernicus.eu/stac", "SENTINEL-2", "SENTINEL-1", False, "the agency's own archive; asks for a free account"),
 ]
 
 
 def catalogues(spark) -> DataFrame:
-    return spark.createDataFrame(CATALOGUES, "catalogue string, collection string, description string")
+    """Known catalogues, one row each."""
+    return spark.createDataFrame(CATALOGUES, "catalogue string, url string, optical_collection string, radar_collection string, requires_signing boolean, notes string")
 
 
 def stac_items(items: DataFrame, collection: str, bbox: tuple[float, float, float, float], start: date, end: date, max_cloud: float | None = None, orbit_state: str | None = None) -> DataFrame:

@@ -70,12 +70,12 @@ def assemble_optical(assets: DataFrame, index: DataFrame) -> DataFrame:
     from verdatrace.model import BANDS
 
     wide = assets.where("error IS NULL" if "error" in assets.columns else "true").groupBy("scene_id", "row", "col").pivot("asset", [*BANDS, "scl"]).agg(F.first("raw"))
-    joined = wide.join(F.broadcast(index.select("scene_id", "acq_date")), "scene_id")
+    joined = wide.join(index.select("scene_id", "acq_date"), "scene_id")
     return joined.select("scene_id", F.datediff("acq_date", F.to_date(F.lit("2015-01-01"))).cast("bigint").alias("obs_id"), "acq_date", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *(reflectance(b).alias(b) for b in BANDS), F.coalesce(F.col("scl").cast("int"), F.lit(0)).alias("scl"))
 
 
 def assemble_radar(pixels: DataFrame, index: DataFrame) -> DataFrame:
     """Observations from calibrated pixels ``scene_id, pol, row, col, db`` beside the scene index with orbit directions."""
     wide = pixels.groupBy("scene_id", "row", "col").pivot("pol", ["vv", "vh"]).agg(F.first("db"))
-    joined = wide.join(F.broadcast(index.select("scene_id", "acq_date", "orbit_state")), "scene_id")
+    joined = wide.join(index.select("scene_id", "acq_date", "orbit_state"), "scene_id")
     return joined.select("scene_id", F.datediff("acq_date", F.to_date(F.lit("2015-01-01"))).cast("bigint").alias("obs_id"), "acq_date", "orbit_state", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("vv").alias("vv_db"), F.col("vh").alias("vh_db"))

@@ -110,15 +110,17 @@ HOT = 100_000
 PLAIN_ROWS = 1_000_000
 
 
-def join_keyed(big: DataFrame, small: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def join_keyed(big: DataFrame, small: DataFrame, key: str, how: str = "inner", total: int | None = None, plain: int | None = None) -> DataFrame:
     """``big`` (a table of ``total`` rows, counted if not given) joined to ``small`` by ``key``, of which ``small`` has one row at most each.
 
+    Up to ``plain`` rows (``PLAIN_ROWS`` if not given) are simply dealt by key.
+
     Keys with more than a ``HOT``-th of the rows of ``big`` are fewer than
     ``HOT``: their rows meet a broadcast part of ``small`` where they are, and
     only all others are dealt by key, so no task gathers a hot key's rows.
     """
     total = big.count() if total is None else total
-    if total <= PLAIN_ROWS:
+    if total <= (PLAIN_ROWS if plain is None else plain):
         return big.join(small, key, how)
     big, small = settle(big, "big")[0], settle(small, "small")[0]
     hot, _ = settle(big.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count().where(F.col("count") * HOT > total).select("__hot"), "hot")

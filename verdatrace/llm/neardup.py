@@ -295,7 +295,8 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     named, _ = settle(members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "first"), "members")
     named = join_keyed(named.drop("first"), named.groupBy("root").agg(F.min("first").alias("name")), "root", total=count)
     of_node = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("name", "first").alias("name"))
-    return join_keyed(prints, of_node, "fp").select("own", "fp", F.col("name.own").alias("first"))
+    # A third of all documents may share a fingerprint.
+    return join_keyed(prints, of_node, "fp", plain=0).select("own", "fp", F.col("name.own").alias("first"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

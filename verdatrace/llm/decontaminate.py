@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,12 +102,19 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return settle(map_arrow(docs.select(key, text), run, f"keys array<{kind}>, {_INDEX}"), "postings")[0]
 
 
+def _numbers(terms: pa.Array, asked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the terms asked for are among a segment's terms: their numbers, and their places there."""
+    number = pc.index_in(terms, value_set=asked).fill_null(-1).to_numpy()
+    place = np.flatnonzero(number >= 0)
+    return number[place], place
+
+
 class _Postings:
     """Posting lists of one stored segment, for the terms in ``asked``."""
 
-    def __init__(self, terms: list[bytes], counts: np.ndarray, gaps: bytes, n_words: np.ndarray, asked: dict[bytes, int]):
+    def __init__(self, terms: pa.Array, counts: np.ndarray, gaps: bytes, n_words: np.ndarray, asked: pa.Array):
         #: From the number that a term has among those asked for to its place here.
-        self.place = {asked[t]: i for i, t in enumerate(terms) if t in asked}
+        self.place = dict(zip(*(x.tolist() for x in _numbers(terms, asked)), strict=True))
         self.ends = np.cumsum(counts)
         self.counts = counts
         self.gaps = np.frombuffer(gaps, "<u4")
@@ -181,30 +189,28 @@ def _blocks(items: DataFrame, key: str, text: str, width: int) -> Iterator[dict[
     yield windows_of(rows, width)
 
 
-def _filed(index: DataFrame, block: dict[tuple[bytes, ...], list]) -> tuple[dict[bytes, int], dict[int, list]]:
-    """Numbers of the block's terms, and the windows (as numbers, with their owners) under the term that is rarest in the index."""
+def _filed(index: DataFrame, block: dict[tuple[bytes, ...], list]) -> tuple[list[bytes], dict[int, list]]:
+    """The block's terms, which are numbered in order, and the windows (as numbers, with their owners) under the term that is rarest in the index."""
     terms = sorted({t for w in block for t in w})
-    shared = index.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
     def run(segments: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
+        asked, total = pa.array(shared.value, pa.binary()), np.zeros(len(shared.value), np.int64)
         for k in range(segments.num_rows):
-            counts = np.asarray(segments.column(1)[k].values)
-            found = [(shared.value[t], i) for i, t in enumerate(segments.column(0)[k].as_py()) if t in shared.value]
-            if found:
-                number, i = np.array(found).T
-                total[number] += counts[i]
+            number, place = _numbers(segments.column(0)[k].values, asked)
+            total[number] += np.asarray(segments.column(1)[k].values)[place]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "n"])
 
     counted = {r["term"]: r["n"] for r in map_arrow(index.select("terms", "counts"), run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    number_of = {t: k for k, t in enumerate(terms)}
     filed: dict[int, list] = {}
     for w, owners in block.items():
-        numbers = [shared.value[t] for t in w]
+        numbers = [number_of[t] for t in w]
         if all(t in counted for t in numbers):  # a term that no document has
             rarest = min(numbers, key=lambda t: (counted[t], t))
             filed.setdefault(rarest, []).append((numbers, numbers.index(rarest), owners))
-    return shared.value, filed
+    return terms, filed
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -224,11 +230,11 @@ def phrase_matches(index: DataFrame, items: DataFrame, item_key: str = "item_id"
         shared = sc.broadcast(_filed(index, block))
 
         def run(segments: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
-            asked, filed = shared.value
+            asked, filed = pa.array(shared.value[0], pa.binary()), shared.value[1]
             for k in range(segments.num_rows):
                 column = {n: segments.column(i)[k] for i, n in enumerate(segments.schema.names)}
                 keys, lengths = column["keys"].values, np.asarray(column["n_words"].values, np.int64)
-                postings = _Postings(column["terms"].as_py(), np.asarray(column["counts"].values, np.int32), column["positions"].as_py(), lengths, asked)
+                postings = _Postings(column["terms"].values, np.asarray(column["counts"].values, np.int32), column["positions"].as_py(), lengths, asked)
                 size = range(len(keys))
                 spans, near = [set() for _ in size], [set() for _ in size]
                 found, near_found = [set() for _ in size], [set() for _ in size]

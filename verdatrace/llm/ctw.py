@@ -51,6 +51,8 @@ DEPTH = 5
 HOT_BITS = 22
 #: Bytes of text of a segment, whose lookups travel together.
 SEGMENT_BYTES = 4 << 20
+#: Rows of a batch, and bytes of text, that counting turns into arrays at a time; distinct words that it holds.
+SLICE_ROWS, COUNTED_BYTES, HELD_WORDS = 1_000, 1 << 20, 200_000
 #: The token that ends every text; no word has white space.
 END = b"\n"
 
@@ -208,18 +210,22 @@ def count_corpus(docs: DataFrame, train: F.Column, text: str, depth: int, bucket
             yield from packed(_NGRAMS, code, count, buckets, _dealt_by(code))
 
         for batch in batches:
-            raw = bytes_of(batch.column(0))
-            for a, b in chunks(raw):
-                texts = [x.translate(_LOWER) for x in raw[a:b]]
-                for x in texts:
-                    words.update(x.split())
-                words[END] += b - a
-                code, _ = windows(texts, depth + 1)
-                grams.add(*np.unique(code, return_counts=True))
-                if len(words) > 400_000:
-                    yield from word_rows()
-                if grams.full():
-                    yield from gram_rows()
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                raw = bytes_of(batch.column(0).slice(at, SLICE_ROWS))
+                for a, b in chunks(raw, COUNTED_BYTES):
+                    texts = [x.translate(_LOWER) for x in raw[a:b]]
+                    for x in texts:
+                        words.update(x.split())
+                    words[END] += b - a
+                    code, _ = windows(texts, depth + 1)
+                    grams.add(*np.unique(code, return_counts=True))
+                    # Small parts share most n-grams: they are put together before it is asked whether a task holds too many.
+                    if grams.full():
+                        grams.add(*grams.take())
+                    if len(words) > HELD_WORDS:
+                        yield from word_rows()
+                    if grams.full():
+                        yield from gram_rows()
         yield from word_rows()
         yield from gram_rows()
 

@@ -131,3 +131,11 @@ def test_optical_cube_and_both_sensors(spark):
     with pytest.raises(ValueError):
         archive.both_sensors(px, a, px, b)
     assert archive.both_sensors(px, a, px, a).grid == a
+
+
+def test_ramps_that_darken(spark):
+    from verdatrace.functions.indices import darkens
+
+    ramps = [(["#ffffff", "#8899aa", "#000000"], True), (["#000000", "#ffffff", "#000000"], False), (["#777777", "#777777"], False), (["#123456"], True), (None, None)]
+    got = spark.createDataFrame(ramps, "ramp array<string>, wanted boolean").select("wanted", darkens("ramp").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["wanted"] for r in got]

@@ -172,6 +172,13 @@ def relative_luminance(colour) -> Column:
     return reduce(lambda x, y: x + y, parts)
 
 
+def darkens(ramp) -> Column:
+    """Whether each colour of an array is darker than the one before; one colour alone is."""
+    levels = F.transform(_c(ramp), relative_luminance)
+    falls = F.zip_with(levels, F.slice(levels, F.lit(2), F.size(levels)), lambda a, b: b.isNull() | (b < a))
+    return F.forall(falls, lambda x: x)
+
+
 def zone_and_band(tile: str) -> tuple[str, str, str]:
     """Zone, latitude band and square of a tile name such as ``55JGG`` or ``T55JGG``."""
     m = re.fullmatch(r"T?(\d{1,2})([A-Z])([A-Z]{2})", tile.strip().upper())

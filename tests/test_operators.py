@@ -66,6 +66,21 @@ def test_boxcar_hole_and_brute_force(spark):
         assert r["v"] == (pytest.approx(want) if want is not None else None)
 
 
+@pytest.mark.parametrize("window, share", [(5, 0.0), (5, 0.4), (5, 0.85), (3, 0.6), (4, 0.6)])
+def test_boxcar_of_pixels_without_rows(spark, window, share):
+    rng = np.random.default_rng(4)
+    a = rng.random((11, 13))
+    a[rng.random(a.shape) < share] = np.nan
+    a[:2], a[:, 11:] = np.nan, np.nan
+    have = [(y, x, float(a[y, x]), f"{y}.{x}") for y in range(11) for x in range(13) if np.isfinite(a[y, x])]
+    grid = Grid.from_origin("EPSG:32755", 0.0, 110.0, 10.0, 13, 11)
+    got = spatial.boxcar(spark.createDataFrame(have, "row int, col int, v double, name string"), ["v"], window, grid).collect()
+    assert sorted((r["row"], r["col"], r["name"]) for r in got) == sorted((y, x, n) for y, x, _, n in have)
+    padded = np.pad(a, (window // 2, window - 1 - window // 2), mode="edge")
+    for r in got:
+        assert r["v"] == pytest.approx(np.nanmean(padded[r["row"] : r["row"] + window, r["col"] : r["col"] + window]))
+
+
 def label(mask):
     out, seen = [], set()
     for p in sorted(mask):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdatrace.functions.indices import index, nbr, ndvi, ndwi, rvi_db
-from verdatrace.model import BANDS, DetectionConfig, Periods
+from verdatrace.model import BANDS, DetectionConfig, Grid, Periods
 from verdatrace.operators.masks import all_gates, rejections, scl_valid, screen_scenes
 from verdatrace.operators.reducers import PIXEL, array_percentile, gather, median, with_medoid
 from verdatrace.operators.robust import change_thresholds, offsets, with_numbers, woody_thresholds
@@ -117,14 +117,15 @@ def detect_optical(obs: DataFrame, periods: Periods, config: DetectionConfig | N
     return Change(px, moved, woody.crossJoin(F.broadcast(limits)), OPTICAL_GATES, source="optical")
 
 
-def detect_radar(obs: DataFrame, periods: Periods, config: DetectionConfig | None = None, stable: DataFrame | None = None) -> Change:
+def detect_radar(obs: DataFrame, periods: Periods, config: DetectionConfig | None = None, stable: DataFrame | None = None, grid: Grid | None = None) -> Change:
     """Loss of structure: a drop in cross-polarised backscatter that the scene as a whole does not show.
 
     Medians of both windows, over all passes and by orbit direction, come from
     one grouping, and one boxcar pass smooths them all.  Directions with two
     passes on either side get a column ``drop_<direction>``; ``orbit_agreement``
     tells whether all of them fell (missing with fewer than two).  ``stable``
-    may name the pixels of the stable population.
+    may name the pixels of the stable population, ``grid`` the raster up to
+    whose edges the boxcar goes.
     """
     config = config or DetectionConfig()
     pre, post = _between(periods.pre_start, periods.pre_end), _between(periods.post_start, periods.post_end)
@@ -142,7 +143,7 @@ def detect_radar(obs: DataFrame, periods: Periods, config: DetectionConfig | Non
         for s in states:
             aggs.append(median(F.col("vh_db"), when & both & (F.lower("orbit_state") == s)).alias(f"{name}_vh_{s}"))
             smooth.append(f"{name}_vh_{s}")
-    px = settle(boxcar(obs.groupBy(*PIXEL).agg(*aggs), smooth, config.speckle_window), "pixels")
+    px = settle(boxcar(obs.groupBy(*PIXEL).agg(*aggs), smooth, config.speckle_window, grid), "pixels")
     had = F.coalesce(F.col("pre_vh_db") >= config.min_pre_vh_db, F.lit(False))
     if stable is not None:
         px = px.join(stable.select(*PIXEL).distinct().withColumn("_stable", F.lit(True)), list(PIXEL), "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdatrace.functions.indices import index
-from verdatrace.model import BANDS, DetectionConfig
+from verdatrace.model import BANDS, DetectionConfig, Grid
 from verdatrace.operators.masks import in_window, scl_valid, screen_scenes
 
 PIXEL = ("row", "col")
@@ -110,11 +110,11 @@ def radar_medians(obs: DataFrame, keys=PIXEL, where: Column | None = None) -> Da
     return obs.groupBy(*keys).agg(F.count_if(both).alias("n_obs"), median(F.col("vv_db"), both).alias("vv_db"), median(F.col("vh_db"), both).alias("vh_db"))
 
 
-def radar_composite(obs: DataFrame, start: date, end: date, speckle_window: int = 5) -> DataFrame:
-    """Median of the window's passes, then the boxcar mean of both polarisations."""
+def radar_composite(obs: DataFrame, start: date, end: date, speckle_window: int = 5, grid: Grid | None = None) -> DataFrame:
+    """Median of the window's passes, then the boxcar mean of both polarisations, up to the edges of ``grid``."""
     from verdatrace.operators.spatial import boxcar
 
-    return boxcar(radar_medians(in_window(obs, start, end)), ["vv_db", "vh_db"], speckle_window)
+    return boxcar(radar_medians(in_window(obs, start, end)), ["vv_db", "vh_db"], speckle_window, grid)
 
 
 def index_percentiles(obs: DataFrame, name: str, qs: list[float], keys=PIXEL) -> DataFrame:

@@ -21,25 +21,37 @@ from verdatrace.storage import settle
 LOCAL_RUNS = 1_000_000
 
 
-def boxcar(pixels: DataFrame, values: list[str], window: int) -> DataFrame:
+def boxcar(pixels: DataFrame, values: list[str], window: int, grid: Grid | None = None) -> DataFrame:
     """Mean of the present values in a square window; the edge pixels are repeated outwards.
 
-    Separable: sums and counts along columns, then along rows.
+    The edges are those of ``grid``, whether or not there are pixels, and pixels
+    outside are left out; without a grid, those of the pixels.  Separable: sums
+    and counts along columns, then along rows.
     """
     if window <= 1:
         return pixels
     low, high = window // 2, window - 1 - window // 2
-    edges = pixels.agg(*(f(c).alias(f"_{n}_{c}") for c in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))))
-    wide = pixels.crossJoin(F.broadcast(edges))
+    if grid is None:
+        edges = pixels.agg(*(f(c).alias(f"_{n}_{c}") for c in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))))
+        wide = pixels.crossJoin(F.broadcast(edges))
+    else:
+        wide = pixels.withColumns({"_lo_row": F.lit(0), "_hi_row": F.lit(grid.height - 1), "_lo_col": F.lit(0), "_hi_col": F.lit(grid.width - 1)})
+    inside = F.col("row").between(F.col("_lo_row"), F.col("_hi_row")) & F.col("col").between(F.col("_lo_col"), F.col("_hi_col"))
+    wide = wide.where(inside)
     for c in ("row", "col"):
         before = F.when(F.col(c) == F.col(f"_lo_{c}"), F.sequence(F.col(c) - low, F.col(c) - 1)).otherwise(F.array().cast("array<int>")) if low else F.array().cast("array<int>")
         after = F.when(F.col(c) == F.col(f"_hi_{c}"), F.sequence(F.col(c) + 1, F.col(c) + high)).otherwise(F.array().cast("array<int>")) if high else F.array().cast("array<int>")
         wide = wide.withColumn(c, F.explode(F.concat(before, F.array(F.col(c)), after)))
-    down, along = W.partitionBy("col").orderBy("row").rangeBetween(-low, high), W.partitionBy("row").orderBy("col").rangeBetween(-low, high)
+    # A place without a pixel has a column's sum as well: such places get empty rows, wherever a pixel of their row looks.
+    order, c = W.partitionBy("row").orderBy("col"), F.col("col")
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    wide = wide.withColumns({"_left": F.greatest(c - low, F.lag("col").over(order) + (high + 1)), "_right": F.least(c + high, F.lead("col").over(order) - 1)})
+    wide = wide.withColumn("_at", F.explode(F.concat(span(F.col("_left"), c - 1), F.array(c), span(c + 1, F.col("_right"))))).withColumn("_own", F.col("_at") == c)
+    wide = wide.withColumns({"col": F.col("_at"), **{v: F.when(F.col("_own"), F.col(v)) for v in values}}).drop("_left", "_right", "_at")
+    down, along = W.partitionBy("col").orderBy("row").rangeBetween(-low, high), order.rangeBetween(-low, high)
     summed = wide.select("*", *(F.sum(v).over(down).alias(f"_s_{v}") for v in values), *(F.count(v).over(down).alias(f"_n_{v}") for v in values))
     meant = summed.select("*", *((F.sum(f"_s_{v}").over(along) / F.nullif(F.sum(f"_n_{v}").over(along), F.lit(0))).alias(f"_b_{v}") for v in values))
-    inside = F.col("row").between(F.col("_lo_row"), F.col("_hi_row")) & F.col("col").between(F.col("_lo_col"), F.col("_hi_col"))
-    return meant.where(inside).select(*((F.col(f"_b_{c}").alias(c) if c in values else F.col(c)) for c in pixels.columns))
+    return meant.where(inside & F.col("_own")).select(*((F.col(f"_b_{c}").alias(c) if c in values else F.col(c)) for c in pixels.columns))
 
 
 def _cross(mask: DataFrame) -> DataFrame:

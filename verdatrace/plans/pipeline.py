@@ -89,7 +89,7 @@ def run(scene: Scene, config: PipelineConfig, tiers: tuple[str, ...] = ("confirm
     p, c = config.periods, config.detection
     optical = step("detect_optical", lambda: settled(detect_optical(scene.optical, p, c, dense=scene.dense), "optical"))
     if scene.radar is not None:
-        evidence = step("detect_radar", lambda: settled(detect_radar(scene.radar, p, c), "radar"))
+        evidence = step("detect_radar", lambda: settled(detect_radar(scene.radar, p, c, grid=scene.grid), "radar"))
     else:
         evidence = step("detect_persistence", lambda: settled(detect_persistence(scene.optical, optical, p, c, dense=scene.dense), "persistence"))
 
@@ -148,7 +148,7 @@ def scan_epochs(scene: Scene, config: PipelineConfig, first_year: int, last_year
         try:
             p = Periods(date(year, *start), date(year, *end), date(year + 1, *start), date(year + 1, *end), config.periods.series_start, config.periods.series_end)
             optical = settled(detect_optical(scene.optical, p, c, check_phenology=False, masked=masked), "optical")
-            evidence = detect_radar(scene.radar, p, c) if scene.radar is not None else detect_persistence(scene.optical, optical, p, c, masked=masked)
+            evidence = detect_radar(scene.radar, p, c, grid=scene.grid) if scene.radar is not None else detect_persistence(scene.optical, optical, p, c, masked=masked)
             clearing = fuse(optical, settled(evidence, "evidence"), scene.grid, c)
             woody = optical.pixels.agg(F.round(F.avg((F.col("woody_before") & F.col("persistently_woody") & F.col("steady_through_the_year")).cast("double")), 4).alias("woody_fraction"))
             of = F.col("tier") == "confirmed"

@@ -587,6 +587,42 @@ def test_op7_forest_on_dense_fingerprints():
     assert components(edges) == components(want)
 
 
+def test_op7_small_tables_take_few_files(spark, tmp_path, monkeypatch):
+    """However many partitions shuffles have: each part file costs an executor child processes."""
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 60), "en", "s0", 1) for k in range(240)]
+    rows += [(1000 + k, rows[k % 240][1] + (" more" if k % 2 else ""), "en", "s0", 1) for k in range(160)]
+    many = spark.createDataFrame(rows, SCHEMA).coalesce(4)
+    want = by(neardup.keep_first(many), "doc_id", "text")
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    monkeypatch.setattr(common, "shared_root", lambda spark: str(tmp_path))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kept = by(neardup.keep_first(many), "doc_id", "text")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == want
+    tables = {p.name: len(list(p.glob("part-*"))) for p in tmp_path.iterdir()}
+    assert any(n.startswith("nodes-") for n in tables) and any(n.startswith("edges-") for n in tables)
+    # The forests' table has a file for each shard with links.
+    assert max(tables.values()) <= spark.sparkContext.defaultParallelism, tables
+
+
+def test_listed_identities_may_repeat(spark, monkeypatch):
+    rows = [(k % 3 or None, f"t{k % 4}") for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    listed = docs.where("doc_id is null or text = 't1'").select(common.identity("doc_id", "text").alias("own"))
+    want = sorted((x for x in rows if x[0] is not None and x[1] != "t1"), key=str)
+    for limit in (common.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", limit)
+        assert by(common.without_rows(docs, "doc_id", "text", listed), "doc_id", "text") == want
+        once = by(common.once(docs, "doc_id", "text", listed), "doc_id", "text")
+        assert once == sorted([*want, *{x for x in rows if x not in want}], key=str)
+
+
 def test_op7_keep_first(docs, table):
     kept = neardup.keep_first(docs)
     assert kept.columns == docs.columns

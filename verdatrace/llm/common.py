@@ -63,6 +63,21 @@ def settle(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows that a part file of a short-rowed table between steps holds, if there are as many.
+PART_ROWS = 50_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` short rows, in no more partitions than its rows and the cores call for.
+
+    Every part file costs the executor that writes it some child processes
+    (Hadoop's local file system runs ``chmod`` for the file and its checksum),
+    each of which has all its memory once more until it becomes another program.
+    A small table that many partitions hold must not become as many files.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and the fields of ``ddl`` after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
@@ -118,12 +133,14 @@ def join_keyed(big: DataFrame, small: DataFrame, key: str, how: str = "inner", t
     Keys with more than a ``HOT``-th of the rows of ``big`` are fewer than
     ``HOT``: their rows meet a broadcast part of ``small`` where they are, and
     only all others are dealt by key, so no task gathers a hot key's rows.
+    ``small`` is written as if it had ``total`` rows.
     """
     total = big.count() if total is None else total
     if total <= (PLAIN_ROWS if plain is None else plain):
         return big.join(small, key, how)
-    big, small = settle(big, "big")[0], settle(small, "small")[0]
-    hot, _ = settle(big.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count().where(F.col("count") * HOT > total).select("__hot"), "hot")
+    big, small = settle(gathered(big, total), "big")[0], settle(gathered(small, total), "small")[0]
+    hot = big.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count().where(F.col("count") * HOT > total).select("__hot")
+    hot, _ = settle(gathered(hot, min(total, HOT)), "hot")
     listed = F.broadcast(hot)
     of_hot = F.broadcast(small.join(listed, small[key] == listed["__hot"], "left_semi"))
     stay = big.join(listed, big[key] == listed["__hot"], "left_semi").join(of_hot, key, how)
@@ -136,9 +153,15 @@ def identity(key: Column | str, text: Column | str) -> Column:
 
 
 def _listed(own: Column, rows: DataFrame) -> tuple[DataFrame, Column]:
-    """Identities (the one column of ``rows``) as a table to join to, broadcast if short by its count, and the condition."""
-    flat, _ = settle(rows.toDF("_d").select(F.col("_d.key").alias("__key"), F.col("_d.h1").alias("__h1"), F.col("_d.h2").alias("__h2")).distinct(), "identities")
-    return (F.broadcast(flat) if flat.count() <= BROADCAST_KEYS else flat), (own["h1"] == flat["__h1"]) & (own["h2"] == flat["__h2"]) & own["key"].eqNullSafe(flat["__key"])
+    """Identities (the one column of ``rows``) as a table to join to, broadcast if short by its count, and the condition.
+
+    A short list may name an identity twice, which a semi or anti join does not mind.
+    """
+    flat, _ = settle(rows.toDF("_d").select(F.col("_d.key").alias("__key"), F.col("_d.h1").alias("__h1"), F.col("_d.h2").alias("__h2")), "identities")
+    if (size := flat.count()) > BROADCAST_KEYS:
+        flat, _ = settle(gathered(flat.distinct(), size), "identities")
+        size = flat.count()
+    return (F.broadcast(flat) if size <= BROADCAST_KEYS else flat), (own["h1"] == flat["__h1"]) & (own["h2"] == flat["__h2"]) & own["key"].eqNullSafe(flat["__key"])
 
 
 def without_rows(docs: DataFrame, key: str, text: str, dropped: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import drop_path, join_keyed, settle
+from verdatrace.llm.common import drop_path, gathered, join_keyed, settle
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -23,11 +23,13 @@ def _signature(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """From edges ``u``, ``v`` (loops and repeats allowed) to ``node``, ``root``: the least node of its component.
 
-    Roots themselves have no row.  Nulls are no nodes.
+    Roots themselves have no row.  Nulls are no nodes.  The edges are counted
+    first, so they should be a stored table.
     """
     spark = edges.sparkSession
+    total = edges.count()
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, path = settle(edges, "edges")
+    edges, path = settle(gathered(edges, total), "edges")
     before = _signature(edges)
     while before[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = join_keyed(up, least, "u", total=before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_keyed(large, lower, "u", total=before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        made, made_path = settle(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        made, made_path = settle(gathered(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), before[0]), "edges")
         after = _signature(made)
         drop_path(spark, path)
         edges, path = made, made_path

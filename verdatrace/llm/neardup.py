@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdatrace.llm.common import bytes_of, drop_path, identity, join_keyed, map_arrow, once, settle, without_rows
+from verdatrace.llm.common import bytes_of, drop_path, gathered, identity, join_keyed, map_arrow, once, settle, without_rows
 from verdatrace.llm.graph import components
 
 #: Differing bits up to which fingerprints link.
@@ -249,7 +249,7 @@ def shards(nodes: DataFrame, count: int) -> DataFrame:
     rows = nodes.select(F.lit(0).cast("bigint").alias("shard"), "fp", F.lit(True).alias("resident"))
     if count <= SHARD_NODES:
         return rows
-    rows, done = settle(_cut(rows, rows.sparkSession.createDataFrame([(0, count)], "shard bigint, n bigint"), 1), "shards")[0], []
+    rows, done = settle(_cut(rows, rows.sparkSession.range(1).select(F.col("id").alias("shard"), F.lit(count).cast("bigint").alias("n")), 1), "shards")[0], []
     while True:
         # A shard that cutting has not made smaller by a fifth stays as it is.
         large = rows.groupBy("shard").agg(F.count("*").alias("n"), F.max("above").alias("above")).where((F.col("n") > LARGE * SHARD_NODES) & (5 * F.col("n") < 4 * F.col("above"))).select("shard", "n")
@@ -285,18 +285,19 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(identity(key, text).alias("own"), F.col(text).alias("t"))
     prints, _ = settle(fingerprints(rows, "own", "t"), "prints")
     # The least key is first; where all are null, the least hash.
-    nodes, _ = settle(prints.groupBy("fp").agg(F.min(F.struct(F.col("own.key").isNull().alias("none"), "own")).alias("first")), "nodes")
+    total = prints.count()
+    nodes, _ = settle(gathered(prints.groupBy("fp").agg(F.min(F.struct(F.col("own.key").isNull().alias("none"), "own")).alias("first")), total), "nodes")
     count = nodes.count()
     edges, path = settle(links(nodes, count), "links")
     joined = components(edges)
     drop_path(spark, path)
     # A root has no row of its own in `joined`; it names itself.
     members = joined.unionAll(joined.select(F.col("root").alias("node"), "root").distinct())
-    named, _ = settle(members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "first"), "members")
+    named, _ = settle(gathered(members.join(nodes, members["node"] == nodes["fp"]).select("node", "root", "first"), count), "members")
     named = join_keyed(named.drop("first"), named.groupBy("root").agg(F.min("first").alias("name")), "root", total=count)
     of_node = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.coalesce("name", "first").alias("name"))
     # A third of all documents may share a fingerprint.
-    return join_keyed(prints, of_node, "fp", plain=0).select("own", "fp", F.col("name.own").alias("first"))
+    return gathered(join_keyed(prints, of_node, "fp", total=total, plain=0).select("own", "fp", F.col("name.own").alias("first")), total)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

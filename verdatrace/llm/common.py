@@ -152,31 +152,26 @@ def identity(key: Column | str, text: Column | str) -> Column:
     return F.struct((F.col(key) if isinstance(key, str) else key).alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("identity"), text).alias("h2"))
 
 
-def _listed(own: Column, rows: DataFrame) -> tuple[DataFrame, Column]:
-    """Identities (the one column of ``rows``) as a table to join to, broadcast if short by its count, and the condition.
-
-    A short list may name an identity twice, which a semi or anti join does not mind.
-    """
-    flat, _ = settle(rows.toDF("_d").select(F.col("_d.key").alias("__key"), F.col("_d.h1").alias("__h1"), F.col("_d.h2").alias("__h2")), "identities")
-    if (size := flat.count()) > BROADCAST_KEYS:
-        flat, _ = settle(gathered(flat.distinct(), size), "identities")
-        size = flat.count()
-    return (F.broadcast(flat) if size <= BROADCAST_KEYS else flat), (own["h1"] == flat["__h1"]) & (own["h2"] == flat["__h2"]) & own["key"].eqNullSafe(flat["__key"])
+def _listed(own: Column, rows: DataFrame, total: int) -> tuple[DataFrame, Column]:
+    """Identities (the one column of ``rows``) as a table to join to, broadcast if short by its count, and the condition."""
+    flat = rows.toDF("_d").select(F.col("_d.key").alias("__key"), F.col("_d.h1").alias("__h1"), F.col("_d.h2").alias("__h2")).distinct()
+    flat, _ = settle(gathered(flat, total), "identities")
+    return (F.broadcast(flat) if flat.count() <= BROADCAST_KEYS else flat), (own["h1"] == flat["__h1"]) & (own["h2"] == flat["__h2"]) & own["key"].eqNullSafe(flat["__key"])
 
 
-def without_rows(docs: DataFrame, key: str, text: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose :func:`identity` is in the one column of ``dropped``, null keys included.
+def without_rows(docs: DataFrame, key: str, text: str, dropped: DataFrame, total: int) -> DataFrame:
+    """``docs``, of ``total`` rows, but for those whose :func:`identity` is in the one column of ``dropped``, null keys included.
 
     A short list stays with the texts where they are; a longer one is joined by a shuffle.
     """
-    side, same = _listed(identity(docs[key], docs[text]), dropped)
+    side, same = _listed(identity(docs[key], docs[text]), dropped, total)
     return docs.join(side, same, "left_anti")
 
 
-def once(docs: DataFrame, key: str, text: str, repeated: DataFrame) -> DataFrame:
-    """``docs`` with one row of each :func:`identity` in the one column of ``repeated``; all other rows stay."""
+def once(docs: DataFrame, key: str, text: str, repeated: DataFrame, total: int) -> DataFrame:
+    """``docs``, of ``total`` rows, with one row of each :func:`identity` in the one column of ``repeated``; all other rows stay."""
     if repeated.isEmpty():
         return docs
-    side, same = _listed(identity(docs[key], docs[text]), repeated)
+    side, same = _listed(identity(docs[key], docs[text]), repeated, total)
     many = docs.join(side, same, "left_semi").withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit("identity"), F.col(text))})
     return docs.join(side, same, "left_anti").unionByName(many.dropDuplicates([key, "__h1", "__h2"]).drop("__h1", "__h2"))

@@ -293,5 +293,6 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a window of an item, whatever their keys."""
     rows = docs.select(identity(key, text).alias("own"), F.col(text).alias("t"))
-    found = phrase_matches(build_index(rows, "own", "t"), items)
-    return without_rows(docs, key, text, found.where(F.size("spans") > 0).select("key"))
+    index = build_index(rows, "own", "t")
+    found, total = phrase_matches(index, items), index.agg(F.sum(F.size("keys"))).first()[0] or 0
+    return without_rows(docs, key, text, found.where(F.size("spans") > 0).select("key"), total)

@@ -312,5 +312,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     dropped like any other; of rows that repeat both one stays.
     """
     found, _ = settle(_classes(docs, key, text).select("own", "first"), "classes")
-    kept = without_rows(docs, key, text, found.where(~F.col("own").eqNullSafe(F.col("first"))).select("own"))
-    return once(kept, key, text, found.where(F.col("own").eqNullSafe(F.col("first"))).groupBy("own").count().where("count > 1").select("own"))
+    total = found.count()
+    kept = without_rows(docs, key, text, found.where(~F.col("own").eqNullSafe(F.col("first"))).select("own"), total)
+    return once(kept, key, text, found.where(F.col("own").eqNullSafe(F.col("first"))).groupBy("own").count().where("count > 1").select("own"), total)
